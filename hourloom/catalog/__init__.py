@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from . import cleaning, scalars, windows  # noqa: F401
+from . import sourcing  # noqa: F401
+from . import scalars, cleaning, windows, checks, evaluation  # noqa: F401
 from .core import ORACLES, QUERIES  # noqa: F401

@@ -21,14 +21,18 @@ SALTS = 16
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with ``_count``, ``_before`` (rows below) and ``_n`` (rows in the group)."""
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
-    counted = rows.groupBy(*keys, "_value").agg(F.count("*").alias("_count"))
+    counted = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("_value"))
+        .agg(F.count("*").alias("_count"))
+    )
     levels = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_value", levels, F.lit(1000)).alias("_cuts"))
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_value", levels, F.lit(1000)).alias("_cuts"))
     # The cuts of a hot group are copied to every salt so its rows spread over tasks.
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
     sliced = (
         counted.withColumn("_salt", F.pmod(F.xxhash64("_value"), F.lit(SALTS)))
-        .join(cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), [*keys, "_salt"])
+        .join(cuts.withColumn("_salt", F.explode(salts)), [*keys, "_salt"])
         .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
         .select(*keys, "_slice", "_value", "_count")
         .repartition(*keys, "_slice")
@@ -54,30 +58,37 @@ def quantiles(
     keys: Sequence[str],
     value: str,
     levels: Sequence[float | Column],
-    out: str = "value",
 ) -> DataFrame:
-    """Linear-interpolation quantiles in long form ``(keys, level, value)``.
+    """Linear-interpolation quantiles: ``(keys, level, value, n_below, n_upto, n)``.
 
     A level may be a number or an expression of ``_n``, the group size. Values
-    equal those of ``percentile``.
+    equal those of ``percentile``; ``n_below`` and ``n_upto`` count the rows
+    below, and not above, the quantile.
     """
     wanted = []
     for level in levels:
         q = level if isinstance(level, Column) else F.lit(float(level))
-        at = q * (F.col("_n") - 1)
-        wanted.append(F.struct(q.cast("double").alias("level"), at.cast("double").alias("at")))
-    hits = F.filter(
-        F.array(*wanted),
-        lambda w: (F.floor(w["at"]) < F.col("_before") + F.col("_count")) & (F.ceil(w["at"]) >= F.col("_before")),
+        wanted.append(F.struct(q.cast("double").alias("level"), (q * (F.col("_n") - 1)).cast("double").alias("at")))
+    before, through = F.col("_before"), F.col("_before") + F.col("_count")
+    holds = lambda position: (position >= before) & (position < through)
+    hits = F.filter(F.array(*wanted), lambda w: holds(F.floor(w["at"])) | holds(F.ceil(w["at"])))
+    here = F.struct(F.col("_value").alias("v"), before.alias("below"), through.alias("upto"))
+    matched = ranked_values(df, keys, value).withColumn("_hit", F.explode(hits))
+    picked = (
+        matched.withColumn("_at", F.col("_hit.at"))
+        .groupBy(*keys, F.col("_hit.level").alias("level"), "_at", "_n")
+        .agg(
+            F.max(F.when(holds(F.floor("_at")), here)).alias("_lo"),
+            F.max(F.when(holds(F.ceil("_at")), here)).alias("_hi"),
+        )
     )
-    upto = F.col("_before") + F.col("_count")
-    matched = ranked_values(df, keys, value).withColumn("_hit", F.explode(hits)).select(
+    share = F.col("_at") - F.floor("_at")
+    apart = (share > 0) & (F.col("_lo.v") < F.col("_hi.v"))
+    return picked.select(
         *keys,
-        F.col("_hit.level").alias("level"),
-        F.col("_hit.at").alias("_at"),
-        F.when((F.floor("_hit.at") >= F.col("_before")) & (F.floor("_hit.at") < upto), F.col("_value")).alias("_lo"),
-        F.when((F.ceil("_hit.at") >= F.col("_before")) & (F.ceil("_hit.at") < upto), F.col("_value")).alias("_hi"),
+        "level",
+        (F.col("_lo.v") + (F.col("_hi.v") - F.col("_lo.v")) * share).alias("value"),
+        F.when(apart, F.col("_hi.below")).otherwise(F.col("_lo.below")).alias("n_below"),
+        F.when(apart, F.col("_hi.below")).otherwise(F.col("_lo.upto")).alias("n_upto"),
+        F.col("_n").alias("n"),
     )
-    picked = matched.groupBy(*keys, "level", "_at").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    share = F.col("_at") - F.floor("_at")
-    return picked.select(*keys, "level", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias(out))
