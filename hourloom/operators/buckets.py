@@ -58,47 +58,64 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.where("_bucket = _own").drop("_bucket", "_own", "_at")
 
 
+def _packed(df: DataFrame, keys: Sequence[str], order: str, width: int, first: Sequence[str] = ()) -> DataFrame:
+    """Rows as ``(keys, _bucket, _row)``, shuffled once by key and bucket.
+
+    Both the rows and their bucket summary read ``_row`` as a whole, so neither
+    branch is pruned differently and Spark reuses the one exchange instead of
+    computing the input twice. Rows without key or time are dropped.
+    """
+    rest = [c for c in df.columns if c not in keys and c != order and c not in first]
+    # Not nullable, so that a later join on it adds no filter to one branch only.
+    bucket = F.coalesce(time_bucket(order, width), F.lit(0))
+    return (
+        present(df, [*keys, order])
+        .select(*keys, bucket.alias("_bucket"), F.struct(order, *first, *rest).alias("_row"))
+        .repartition(*keys, "_bucket")
+    )
+
+
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows where all columns are set, as the plain predicates the optimizer recognises."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def with_neighbours(
     df: DataFrame,
     payload: Sequence[str],
     side: str = "both",
-    valid: Column | None = None,
+    valid: str | None = None,
     keys: Sequence[str] = KEYS,
     order: str = "ts",
     width: int = BUCKET_HOURS,
 ) -> DataFrame:
-    """Add ``_prev`` / ``_next``: the nearest valid row strictly before / after.
+    """Add ``_prev`` / ``_next``: the nearest row strictly before / after.
 
-    Both are structs of ``(order, *payload)``. However far away the neighbour
+    Both are structs holding at least ``(order, *payload)``; with ``valid`` only
+    rows where that column is not null count. However far away the neighbour
     is, only one summary row per bucket crosses bucket borders.
     """
-    at = F.struct(order, *payload)
-    rows = (
-        df.withColumn("_bucket", time_bucket(order, width))
-        .withColumn("_at", at if valid is None else F.when(valid, at))
-        .repartition(*keys, "_bucket")
-    )
+    rows = _packed(df, keys, order, width, payload)
+    at = "_row" if valid is None else f"if(_row.{valid} is null, null, _row)"
     names = ", ".join(keys)
-    edges = rows.groupBy(*keys, "_bucket").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    edges = rows.groupBy(*keys, "_bucket").agg(F.expr(f"min({at})").alias("_first"), F.expr(f"max({at})").alias("_last"))
     over = f"over (partition by {names} order by _bucket)"
-    carried = edges.select(
-        *keys,
-        "_bucket",
-        F.expr(f"lag(_last) ignore nulls {over}").alias("_before"),
-        F.expr(f"lead(_first) ignore nulls {over}").alias("_after"),
-    )
-    inside = f"over (partition by {names}, _bucket order by {order})"
-    out = rows
-    if side in ("both", "prev"):
-        out = out.withColumn("_prev", F.expr(f"lag(_at) ignore nulls {inside}"))
-    if side in ("both", "next"):
-        out = out.withColumn("_next", F.expr(f"lead(_at) ignore nulls {inside}"))
-    out = out.join(carried, [*keys, "_bucket"])
+    inside = f"over (partition by {names}, _bucket order by _row)"
+    found, carried = {}, {}
     if side in ("both", "prev"):
-        out = out.withColumn("_prev", F.coalesce("_prev", "_before"))
+        found["_prev"] = f"lag({at}) ignore nulls {inside}"
+        carried["_prev"] = f"lag(_last) ignore nulls {over}"
     if side in ("both", "next"):
-        out = out.withColumn("_next", F.coalesce("_next", "_after"))
-    return out.drop("_bucket", "_at", "_before", "_after")
+        found["_next"] = f"lead({at}) ignore nulls {inside}"
+        carried["_next"] = f"lead(_first) ignore nulls {over}"
+    summary = edges.select(*keys, "_bucket", *[F.expr(e).alias(f"_far{n}") for n, e in carried.items()])
+    near = rows.withColumns({n: F.expr(e) for n, e in found.items()})
+    return near.join(summary, [*keys, "_bucket"]).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns],
+        *[F.coalesce(n, f"_far{n}").alias(n) for n in found],
+    )
 
 
 def with_positions(
@@ -109,19 +126,21 @@ def with_positions(
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``_pos`` (0-based row number by time) and ``_n`` (rows of the series)."""
-    rows = df.withColumn("_bucket", time_bucket(order, width)).repartition(*keys, "_bucket")
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    counts = (
-        rows.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_through", F.sum("_rows").over(by_bucket))
-        .withColumn("_n", F.sum("_rows").over(Window.partitionBy(*keys)))
-        .select(*keys, "_bucket", (F.col("_through") - F.col("_rows")).alias("_offset"), "_n")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_row")
+    numbered = _packed(df, keys, order, width, tie_break).withColumns({
+        "_rank": F.row_number().over(inside),
+        "_end": F.lead("_bucket").over(inside).isNull(),
+    })
+    so_far = Window.partitionBy(*keys).orderBy("_bucket")
+    # The last row of a bucket knows how many rows the bucket has.
+    counts = numbered.where("_end").select(
+        *keys,
+        "_bucket",
+        (F.sum("_rank").over(so_far) - F.col("_rank")).alias("_offset"),
+        F.sum("_rank").over(Window.partitionBy(*keys)).alias("_n"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *tie_break)
-    return (
-        rows.withColumn("_row", F.row_number().over(inside))
-        .join(counts, [*keys, "_bucket"])
-        .withColumn("_pos", F.col("_offset") + F.col("_row") - 1)
-        .drop("_bucket", "_row", "_offset")
+    return numbered.join(counts, [*keys, "_bucket"]).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns],
+        (F.col("_offset") + F.col("_rank") - 1).alias("_pos"),
+        "_n",
     )

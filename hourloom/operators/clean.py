@@ -88,7 +88,7 @@ def gap_fill(df: DataFrame, value: str = "demand_gw") -> DataFrame:
 
 def interpolate_time(df: DataFrame, value: str = "demand_gw") -> DataFrame:
     """Fill null values linearly in time; trailing nulls repeat the last value."""
-    rows = with_neighbours(df, [value], valid=F.col(value).isNotNull())
+    rows = with_neighbours(df, [value], valid=value)
     between = _between(
         F.col(f"_prev.{value}"),
         F.col(f"_next.{value}"),

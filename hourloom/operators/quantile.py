@@ -14,42 +14,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buckets import present
+
 SLICES = 64
-SALTS = 16
+SALTS = 16  # a power of two
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with ``_count``, ``_before`` (rows below) and ``_n`` (rows in the group)."""
     keys = list(keys)
     counted = (
-        df.where(F.col(value).isNotNull())
+        present(df, [*keys, value])
         .groupBy(*keys, F.col(value).alias("_value"))
         .agg(F.count("*").alias("_count"))
     )
     levels = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_value", levels, F.lit(1000)).alias("_cuts"))
+    # Both branches read every column of `counted`, so its exchange is reused.
+    cuts = counted.groupBy(*keys).agg(
+        F.percentile_approx(F.when(F.col("_count") > 0, F.col("_value")), levels, F.lit(1000)).alias("_cuts")
+    )
     # The cuts of a hot group are copied to every salt so its rows spread over tasks.
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_value")
     sliced = (
-        counted.withColumn("_salt", F.pmod(F.xxhash64("_value"), F.lit(SALTS)))
+        counted.withColumn("_salt", F.xxhash64("_value").bitwiseAND(F.lit(SALTS - 1).cast("bigint")))
         .join(cuts.withColumn("_salt", F.explode(salts)), [*keys, "_salt"])
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
+        .withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_value"))), F.lit(0)))
         .select(*keys, "_slice", "_value", "_count")
         .repartition(*keys, "_slice")
+        .withColumns({
+            "_through": F.sum("_count").over(inside),
+            "_end": F.lead("_value").over(inside).isNull(),
+        })
     )
-    up_to = Window.partitionBy(*keys).orderBy("_slice")
-    totals = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.sum("_count").alias("_rows"))
-        .withColumn("_offset", F.sum("_rows").over(up_to) - F.col("_rows"))
-        .withColumn("_n", F.sum("_rows").over(Window.partitionBy(*keys)))
-        .drop("_rows")
+    so_far = Window.partitionBy(*keys).orderBy("_slice")
+    # The last value of a slice knows how many rows the slice has.
+    totals = sliced.where("_end").select(
+        *keys,
+        "_slice",
+        (F.sum("_through").over(so_far) - F.col("_through")).alias("_offset"),
+        F.sum("_through").over(Window.partitionBy(*keys)).alias("_n"),
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_value")
-    return (
-        sliced.withColumn("_within", F.sum("_count").over(inside) - F.col("_count"))
-        .join(totals, [*keys, "_slice"])
-        .select(*keys, "_value", "_count", (F.col("_offset") + F.col("_within")).alias("_before"), "_n")
+    return sliced.join(totals, [*keys, "_slice"]).select(
+        *keys, "_value", "_count", (F.col("_offset") + F.col("_through") - F.col("_count")).alias("_before"), "_n"
     )
 
 

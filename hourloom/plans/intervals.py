@@ -39,8 +39,8 @@ def conformal_offsets(
     so no count has to be collected first.
     """
     scored = calibration.withColumn("_score", nonconformity(F.col(actual), F.col(lower), F.col(upper)))
-    levels = quantiles(scored, keys, "_score", [conformal_level(F.col("_n"), target)], "conformal_offset")
-    return levels.select(*keys, "conformal_offset")
+    offsets = quantiles(scored, keys, "_score", [conformal_level(F.col("_n"), target)])
+    return offsets.select(*keys, F.col("value").alias("conformal_offset"))
 
 
 def widen(df: DataFrame, offsets: DataFrame, keys: Sequence[str] = (KEY,), lower="lower", upper="upper") -> DataFrame:

@@ -93,12 +93,10 @@ class LeafQuantiles:
 
     model: PipelineModel
     leaves: DataFrame
-    max_leaves: int
 
     def bounds(self, df: DataFrame) -> DataFrame:
         """Add ``lower``, ``median`` and ``upper``."""
         at = self.model.transform(df).drop("_x", "_point").withColumn("_leaf", F.col("_leaf").cast("int"))
-        # At most 2 ** depth rows, whatever the data.
         return at.join(F.broadcast(self.leaves), "_leaf").drop("_leaf")
 
 
@@ -127,7 +125,9 @@ def fit_leaf_quantiles(
     wide = table.groupBy("_leaf").agg(
         *[F.max(F.when(F.col("level") == q, F.col("value"))).alias(name) for name, q in levels.items()]
     )
-    return LeafQuantiles(model, wide, 2**depth)
+    # The leaf table is part of the model: at most 2 ** depth rows, fixed once fitted.
+    leaves = train.sparkSession.createDataFrame(wide.collect(), wide.schema)
+    return LeafQuantiles(model, leaves)
 
 
 # Attributions of a linear predictor are exact: coefficient times centred feature.
