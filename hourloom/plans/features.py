@@ -69,21 +69,34 @@ def lag_columns(value: str, lags, w, clamp: bool = False) -> dict[str, Column]:
     return out
 
 
+def _window_full(value: str, n: int, w) -> Column:
+    """Whether the ``n`` rows before the current one all exist and hold a value.
+
+    Decided from positions, which is constant work per row; counting the frame
+    again would double the cost of the rolling mean.
+    """
+    oldest = F.lag("_at", n).over(w)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last_null = F.last(F.when(F.col(value).isNull(), F.col("_at")), ignorenulls=True).over(before)
+    return oldest.isNotNull() & F.coalesce(last_null < oldest, F.lit(True))
+
+
 def roll_columns(value: str, w, partial: bool = False) -> dict[str, Column]:
     """Trailing mean and deviation of the rows before the current one.
 
     Full windows only, unless ``partial``: then frames are clipped at the series
     start, an empty mean is 0 and a deviation of fewer than two rows is 0.
+    ``w`` is a ``halo_window``.
     """
     day, week = w.rowsBetween(-24, -1), w.rowsBetween(-168, -1)
     plain = {
-        "mean_24h": (F.avg(value).over(day), F.count(value).over(day) == 24),
-        "std_24h": (F.stddev_samp(value).over(day), F.count(value).over(day) == 24),
-        "mean_168h": (F.avg(value).over(week), F.count(value).over(week) == 168),
+        "mean_24h": (F.avg(value).over(day), 24),
+        "std_24h": (F.stddev_samp(value).over(day), 24),
+        "mean_168h": (F.avg(value).over(week), 168),
     }
     if partial:
         return {name: F.coalesce(expr, F.lit(0.0)) for name, (expr, _) in plain.items()}
-    return {name: F.when(full, expr) for name, (expr, full) in plain.items()}
+    return {name: F.when(_window_full(value, n, w), expr) for name, (expr, n) in plain.items()}
 
 
 def build_features(

@@ -43,6 +43,14 @@ def test_values_equal_pandas(features, raw):
     assert set(features["is_weekend"]) <= {0, 1}
 
 
+def test_rolling_needs_every_value(spark, raw):
+    df = spark.createDataFrame(raw).withColumn("demand_gw", F.when(F.hour("ts") + F.day("ts") != 13, F.col("demand_gw")))
+    got = collect(build_features(df, keep_incomplete=True))
+    past = got["demand_gw"].shift(1)
+    for name, want in (("mean_24h", past.rolling(24).mean()), ("std_24h", past.rolling(24).std()), ("mean_168h", past.rolling(168).mean())):
+        np.testing.assert_allclose(got[f"demand_roll_{name}"], want)
+
+
 def test_growth_rises(spark):
     out = collect(build_features(spark.createDataFrame(demand(2000))))["data_center_load_gw"]
     assert out[len(out) // 2 :].mean() > out[: len(out) // 2].mean()
