@@ -67,15 +67,15 @@ def _(spark, sf):
     wide = S.predictions(spark, sf).withColumnRenamed("ts", "timestamp")
     day, week, none = (scratch(spark, n) for n in ("day", "week", "none"))
     first = wide.where("model = 'naive_day'").select(
-        "series_id", "timestamp", F.col("actual").alias("demand_gw"), F.col("pred").alias("xgb_pred"),
+        "series_id", "timestamp", F.col("actual").alias("demand_gw"), F.col("pred").alias("trees_pred"),
         (F.col("pred") - 1).alias("lower_gw"), (F.col("pred") + 1).alias("upper_gw"))
     second = wide.where("model = 'naive_week'").select(
-        "series_id", "timestamp", (F.col("actual") * 1000).alias("demand_mw"), F.col("pred").alias("sarima_pred"))
+        "series_id", "timestamp", (F.col("actual") * 1000).alias("demand_mw"), F.col("pred").alias("seasonal_pred"))
     tables.write_csv(first, day)
     tables.write_csv(second, week)
-    tables.write_csv(second.drop("sarima_pred"), none)
+    tables.write_csv(second.drop("seasonal_pred"), none)
     return tables.read_predictions(spark, {
-        "naive_day": (day, "xgb_pred"), "naive_week": (week, "sarima_pred"), "absent": (none, "tabpfn_pred")})
+        "naive_day": (day, "trees_pred"), "naive_week": (week, "seasonal_pred"), "absent": (none, "context_pred")})
 
 
 @query("src_time_grid", "series_id ts:t", """

@@ -73,7 +73,7 @@ def test_seed_fallbacks(spark):
 def test_filled_horizon_features(spark):
     pdf = demand(220, temperature=False)
     df = spark.createDataFrame(pdf)
-    out = forecast.filled_horizon(requests(spark, 3, pd.Timestamp("2024-01-01")), forecast.seed_arrays(df), "zero").toPandas().sort_values("step")
+    out = forecast.filled_horizon(requests(spark, 3, pd.Timestamp("2024-01-01").to_pydatetime()), forecast.seed_arrays(df), "zero").toPandas().sort_values("step")
     seed = list(pdf["demand_gw"].tail(200))
     past = seed + [0.0, 0.0]
     last = out.iloc[2]
@@ -117,7 +117,7 @@ def test_folds_equal_loop(spark):
 
 
 def test_precomputed_bands(spark):
-    df = spark.createDataFrame([("a", pd.Timestamp("2024-01-01"), 1.0, 2.0, None), ("a", pd.Timestamp("2024-01-01 01:00"), 1.0, 3.0, 2.5)],
+    df = spark.createDataFrame([("a", pd.Timestamp("2024-01-01").to_pydatetime(), 1.0, 2.0, None), ("a", pd.Timestamp("2024-01-01 01:00").to_pydatetime(), 1.0, 3.0, 2.5)],
                                "series_id string, ts timestamp, actual double, pred double, lower_gw double")
     rows = forecast.precomputed(df, 2).orderBy("ts").collect()
     assert [r.lower_gw for r in rows] == [pytest.approx(1.38), 2.5] and rows[1].upper_gw == pytest.approx(3.61)

@@ -21,7 +21,7 @@ def test_load_pages(spark, tmp_path):
     ]))
     rows = pages.read_load_pages(spark, str(tmp_path))
     assert rows.count() == 3
-    stored = spark.createDataFrame([("a", pd.Timestamp("2024-01-05"), 9.0)], "series_id string, ts timestamp, demand_gw double")
+    stored = spark.createDataFrame([("a", pd.Timestamp("2024-01-05").to_pydatetime(), 9.0)], "series_id string, ts timestamp, demand_gw double")
     since = F.lit("2024-01-01").cast("timestamp")
     got = pages.load_increment(rows, stored, since).collect()
     assert [(str(r.ts), r.demand_gw) for r in got] == [("2024-01-01 02:00:00", 3.0)]
@@ -42,7 +42,7 @@ def test_clean_demand_end_to_end(spark):
     raw = spark.createDataFrame(
         [("a", "2024-01-01T00", "1000", 1), ("a", "2024-01-01T00", "7", 2), ("a", "2024-01-01T02", "3000", 3), ("a", "2024-01-01T03", "x", 4)],
         "series_id string, period string, value string, seq int")
-    temp = spark.createDataFrame([(pd.Timestamp("2024-01-01 00:00"), 33.0)], "ts timestamp, temperature_f double")
+    temp = spark.createDataFrame([(pd.Timestamp("2024-01-01 00:00").to_pydatetime(), 33.0)], "ts timestamp, temperature_f double")
     rows = clean_demand(raw, temp).orderBy("ts").collect()
     assert [r.demand_gw for r in rows] == [1.0, 2.0, 3.0]
     assert rows[0].temperature_f == 33.0 and rows[1].temperature_f is not None
@@ -68,7 +68,7 @@ def test_tables_and_registry(spark, tmp_path):
 def test_merge_sink_survives_replay(spark, tmp_path):
     sink = inc.merge_sink(str(tmp_path / "m"), tie_break="seq")
     batch = lambda rows: spark.createDataFrame(rows, "series_id string, ts timestamp, v double, seq int")
-    t = pd.Timestamp("2024-01-01")
+    t = pd.Timestamp("2024-01-01").to_pydatetime()
     sink(batch([("a", t, 1.0, 2), ("a", t, 0.5, 1)]), 0)
     second = batch([("a", t, 9.0, 3), ("b", t, 2.0, 4)])
     sink(second, 1)
