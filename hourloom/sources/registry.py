@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.ml import PipelineModel
 
 from ..schemas import RUN
+from ..session import path_exists
 
 
 def run_id(name: Column, start_time: Column) -> Column:
@@ -78,10 +79,7 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(spark: SparkSession, *folders: str) -> PipelineModel:
     """Load from the first folder that holds a saved model."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
-        meta = hadoop(f"{folder.rstrip('/')}/metadata")
-        if meta.getFileSystem(conf).exists(meta):
+        if path_exists(spark, f"{folder.rstrip('/')}/metadata"):
             return PipelineModel.load(folder)
     raise FileNotFoundError(f"no saved model in {', '.join(folders)}")

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.clean import dedup_first
 from ..operators.joins import fill_temperature, join_weather, new_rows_only
-from ..session import KEY, scratch
+from ..session import KEY, path_exists, scratch
 
 # Reporting lag of the load service and archive lag of the weather service.
 LATE_LOAD = "2 days"
@@ -90,11 +89,9 @@ def merge_sink(path: str, keys=(KEY, "ts"), tie_break: str | None = None) -> Cal
     def write(batch: DataFrame, batch_id: int) -> None:
         unique = dedup_first(batch, tie_break, keys) if tie_break else batch.dropDuplicates(list(keys))
         fresh = unique
-        try:
+        if path_exists(batch.sparkSession, path):
             stored = batch.sparkSession.read.parquet(path).where(F.col("batch_id") < batch_id)
             fresh = new_rows_only(stored, unique, keys)
-        except AnalysisException:
-            pass  # nothing stored yet
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
