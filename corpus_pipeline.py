@@ -3,20 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourloom.llm import compression_quality, decontaminate, poisson_mix
+from hourloom.llm import compression_quality, decontaminate, group_join, poisson_mix, substring_dedup
 from hourloom.llm.queries import MIX_WEIGHTS, quality_model
-from hourloom.llm.text import table, written
+from hourloom.llm.text import row_key, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
-    model = quality_model(spark, sf_dir)
-    return compression_quality.accepted(docs, model)
+    return compression_quality.accepted(docs, quality_model(spark, sf_dir))
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (5-word n-grams, 0.8): the one of smallest id.
+
+    Documents without words link with nothing and stay."""
+    judged = group_join.jaccard_components(docs, n=5, per_100=80)
+    gone = judged.where(F.col("component_id") < F.col("doc_id")).select(F.col("row_key").alias("_gone"))
+    return docs.join(gone, row_key("doc_id", "text") == F.col("_gone"), "left_anti")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word passages that stand in a document of smaller id; those
+    left without any word go."""
+    cleaned = substring_dedup.substring_dedup(docs.select("doc_id", "text"))
+    changed = cleaned.where("n_removed > 0").select(F.col("row_key").alias("_row"), "cleaned", (F.col("n_removed") == F.col("n_words")).alias("_empty")).distinct()
+    joined = docs.join(changed, row_key("doc_id", "text") == F.col("_row"), "left").where("_empty IS NULL OR NOT _empty")
+    text = F.coalesce("cleaned", "text")
+    return joined.withColumns({"text": text, "n_chars": F.when(F.col("_row").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("bigint"))}).select(docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the contaminated ones."""
+    """Documents that benchmark passages do not contaminate."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -25,7 +44,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return poisson_mix.mix_sources(docs, MIX_WEIGHTS)
 
 
-STAGES = [("quality", keep_good), ("decontaminate", remove_benchmark), ("mix", mix)]
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("near_duplicates", keep_one_of_group),
+    ("substring_dedup", drop_repeats),
+    ("decontamination", remove_benchmark),
+    ("mixing", mix),
+]
+# The classifier's compressed sizes have no SQL form; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 

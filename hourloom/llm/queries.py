@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import compression_quality, decontaminate, license_scan, line_rules, poisson_mix, ppm_score, substring_dedup, token_counts, warc_zip
+from . import compression_quality, decontaminate, group_join, license_scan, line_rules, poisson_mix, ppm_score, substring_dedup, token_counts, warc_zip
 from .text import held_out, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_group_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, per_100=85).select("doc_id", "n_shingles", "component_id")
