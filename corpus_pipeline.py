@@ -21,17 +21,18 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Documents without words link with nothing and stay."""
     judged = group_join.jaccard_components(docs, n=5, per_100=80)
     gone = judged.where(F.col("component_id") < F.col("doc_id")).select(F.col("row_key").alias("_gone"))
-    return docs.join(gone, row_key("doc_id", "text") == F.col("_gone"), "left_anti")
+    return docs.join(gone, row_key("doc_id", "text") == gone["_gone"], "left_anti")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-word passages that stand in a document of smaller id; those
     left without any word go."""
     cleaned = substring_dedup.substring_dedup(docs.select("doc_id", "text"))
-    changed = cleaned.where("n_removed > 0").select(F.col("row_key").alias("_row"), "cleaned", (F.col("n_removed") == F.col("n_words")).alias("_empty")).distinct()
-    joined = docs.join(changed, row_key("doc_id", "text") == F.col("_row"), "left").where("_empty IS NULL OR NOT _empty")
-    text = F.coalesce("cleaned", "text")
-    return joined.withColumns({"text": text, "n_chars": F.when(F.col("_row").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("bigint"))}).select(docs.columns)
+    changed = cleaned.where("n_removed > 0").select(F.col("row_key"), "cleaned", (F.col("n_removed") == F.col("n_words")).alias("emptied")).distinct()
+    joined = docs.join(changed, row_key("doc_id", "text") == changed["row_key"], "left").where(changed["emptied"].isNull() | ~changed["emptied"])
+    new = {"text": F.coalesce(changed["cleaned"], docs["text"]),
+           "n_chars": F.when(changed["row_key"].isNull(), docs["n_chars"]).otherwise(F.char_length(changed["cleaned"]).cast("bigint"))}
+    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

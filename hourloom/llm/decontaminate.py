@@ -98,8 +98,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id
     """``docs`` without its contaminated rows; all columns stay."""
     judged = contamination(docs, items, doc_id, text_col, **options)
     bad = judged.where("contaminated").select(F.col("row_key").alias("_bad")).distinct()
-    keyed = docs.withColumn("_row", row_key(doc_id, text_col))
-    return keyed.join(bad, keyed["_row"] == bad["_bad"], "left_anti").drop("_row")
+    return docs.join(bad, row_key(doc_id, text_col) == bad["_bad"], "left_anti")
 
 
 SQL = r"""

@@ -74,8 +74,8 @@ def mix_sources(df: DataFrame, weights: Mapping[str | None, float], *, total: fl
 
 
 def _exploded(df: DataFrame, mean: Column, seed: str, id_col: str) -> DataFrame:
-    counted = df.withColumn("_copies", poisson_count(mean, uniform(seed, id_col))).where("_copies > 0")
-    keyed = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    copies = poisson_count(mean, uniform(seed, id_col))
+    keyed = df.where(copies > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies)))
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col("copy_no").cast("string"))
     return keyed.withColumn("mix_key", F.substring(F.md5(text.cast("binary")), 1, 16))
 
