@@ -91,20 +91,24 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, floa
     return mean, scale, float(w[0]), float(w[1])
 
 
-def fit_compression_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *,
+def fit_compression_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *,
                           sample_per_label: int = 3000, max_chars: int = 8192, dictionary_bytes: int = 1 << 16) -> CompressionModel:
-    """Fit on a bounded sample: at most ``sample_per_label`` rows of each label, those with the
-    smallest hash of the id, each read up to ``max_chars`` characters. Half of them make the
-    dictionaries, the other half, unseen by these, calibrates. The bound is of the fit alone;
-    scoring reads whole texts.
+    """Fit on a bounded sample: of each label at most ``sample_per_label`` rows of ``labels``, those
+    with the smallest hash of the id, each text read up to ``max_chars`` characters. Half of them
+    make the dictionaries, the other half, unseen by these, calibrates. The bound is of the fit
+    alone; scoring reads whole texts.
+
+    The sample is chosen among labels and then looked up, so documents are scanned once and not moved.
     """
-    rows = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    texts: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        picked = (rows.where(F.col(label_col) == label)
-                  .select(F.xxhash64(F.col(id_col).cast("string")).alias("_order"), F.substring(text_col, 1, max_chars).alias("_text"))
-                  .orderBy("_order", "_text").limit(sample_per_label).collect())
-        texts[label] = [r["_text"].encode() for r in picked]
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
+        F.col(id_col), F.col(label_col).cast("int").alias("_label"), F.xxhash64(F.col(id_col).cast("string")).alias("_order"))
+    chosen = [known.where(F.col("_label") == k).orderBy("_order").limit(sample_per_label) for k in (0, 1)]
+    # At most twice sample_per_label rows.
+    picked = F.broadcast(chosen[0].unionByName(chosen[1]))
+    found = documents.where(F.col(text_col).isNotNull()).join(picked, id_col).select(
+        "_label", "_order", F.substring(text_col, 1, max_chars).alias("_text")).collect()
+    found.sort(key=lambda r: (r["_order"], r["_text"]))
+    texts = {k: [r["_text"].encode() for r in found if r["_label"] == k] for k in (0, 1)}
     total = len(texts[0]) + len(texts[1])
     if not texts[0] or not texts[1]:  # nothing to tell apart: the share of good labels, or one half
         share = (len(texts[1]) + 1) / (total + 2)

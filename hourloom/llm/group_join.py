@@ -4,14 +4,14 @@ Documents with the same n-gram set are one set. Similar sets are partitioned int
 their smallest hashed n-gram, groups into chunks of bounded size. The matrix holds which chunk's
 token union has which token; only tokens that the prefix bound makes necessary are stored: of
 two sets that link, both hold at least ``SHARE`` common ones among their first tokens in one
-global order. A query set is bounded against every other chunk by the tokens it shares with the
-chunk's union and by the chunk's sizes, and only chunks that pass are opened, where its overlap
-with each member is counted exactly.
+global order. Chunks are bounded against each other, then query sets against a chunk, by the
+tokens shared with the chunk's union and by the chunk's sizes; only chunks that pass are opened,
+where a query's overlap with each member is counted exactly.
 
 Only links matter, so a chunk first finds its own components, one set of each goes ahead to the
-qualifying chunks, and the rest follow only where a chunk still has members of another component.
-No link between different texts can be lost: every pair that passes the bounds is either counted
-or already connected.
+qualifying chunks, and the rest are bounded and follow only where two chunks are not yet one
+component. No link between different texts can be lost: every pair that passes the bounds is
+either counted or already connected.
 
 The order puts tokens that many documents of one task share last (a bounded list, by count); it
 only decides how many candidates there are, not the result. Tokens and sets are told apart by
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import WordHashes, as_bytes, grams, mixed, row_key, slices, written
+from .text import Tables, WordHashes, as_bytes, grams, mixed, row_key, slices
 
 SHARE = 3
 CHUNK = 128
@@ -154,11 +154,11 @@ def _inside(members: DataFrame, n: int, per_100: int) -> DataFrame:
     return members.groupBy("_chunk").applyInArrow(run, "_set bigint, _label bigint")
 
 
-def _opened(openings: DataFrame, members: DataFrame, texts: DataFrame, n: int, per_100: int) -> DataFrame:
+def _opened(openings: DataFrame, members: DataFrame, texts: DataFrame, n: int, per_100: int, tables: Tables) -> DataFrame:
     """(a, b) labels linked by counting queries (_set, _label, _chunk) against members (_set, _label, _chunk).
 
     A chunk with many queries is opened in several places, each with a bounded part of them."""
-    parts = written(openings.groupBy("_chunk").agg(F.ceil(F.count("*") / QUERIES_PER_OPENING).cast("int").alias("_parts")), "openings")
+    parts = tables.written(openings.groupBy("_chunk").agg(F.ceil(F.count("*") / QUERIES_PER_OPENING).cast("int").alias("_parts")), "openings")
     asks = openings.join(parts, "_chunk").select("_set", "_label", "_chunk", F.pmod(F.xxhash64("_set"), F.col("_parts")).cast("int").alias("_part"), F.lit(True).alias("_asks"))
     holds = members.join(parts, "_chunk").select("_set", "_label", "_chunk", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(False).alias("_asks"))
 
@@ -188,6 +188,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = df.sparkSession
     rows = df.select(row_key(id_col, text_col).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    tables = Tables(spark)
+    written = tables.written
     common = spark.sparkContext.broadcast(common_tokens(rows, n))  # at most COMMON_TOKENS values
     seen = written(_prefixes(rows, n, per_100, common), "prefixes")
 
@@ -197,50 +199,59 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chunked = full.join(large, "_group", "left").select(
         "_row", "_set", "_size", "_first", F.when(F.col("_sets").isNull(), F.col("_group")).otherwise(F.xxhash64("_group", part)).alias("_chunk"))
 
-    # The matrix: tokens that stand in the unions of two chunks or more.
+    # The matrix: tokens that stand in the unions of two chunks or more. These joins are merge joins
+    # at every size, so that AQE can split a token or chunk that very many rows have.
     entries = chunked.select("_set", "_size", "_chunk", F.explode("_first").alias("_token"))
     wide = written(entries.groupBy("_token").agg(F.min("_chunk").alias("_low"), F.max("_chunk").alias("_high"))
                    .where("_low < _high").select("_token"), "wide-tokens")
-    matrix = written(entries.join(wide, "_token").groupBy("_token", "_chunk", "_set").agg(F.first("_size").alias("_size")), "matrix")
-    unions = matrix.groupBy("_token", "_chunk").agg(F.min("_size").alias("_low"), F.max("_size").alias("_high"))
-    need = F.ceil(F.col("_size") * per_100 / 100)
-    bounded = (matrix.select("_token", "_set", "_size", F.col("_chunk").alias("_own"))
-               .join(unions, "_token").where("_own < _chunk")
-               .where((100 * F.col("_high") >= per_100 * F.col("_size")) & (100 * F.col("_size") >= per_100 * F.col("_low")))
-               .groupBy("_set", "_chunk").agg(F.count("*").alias("_share"), F.first("_size").alias("_size"), F.first("_own").alias("_own"))
-               .where(F.col("_share") >= F.least(F.lit(SHARE), need)))
-    qualifying = written(bounded.select("_set", "_own", "_chunk"), "qualifying")
-
-    # Texts of the sets that are looked at: members of chunks of several sets, queries, and the chunks they open.
+    matrix = written(entries.join(wide.hint("merge"), "_token").groupBy("_token", "_chunk", "_set").agg(F.first("_size").alias("_size")), "matrix")
+    unions = written(matrix.groupBy("_token", "_chunk").agg(F.min("_size").alias("_low"), F.max("_size").alias("_high")), "unions")
+    fits = (100 * F.col("_high") >= per_100 * F.col("_from")) & (100 * F.col("_to") >= per_100 * F.col("_low"))
+    share = F.least(F.lit(SHARE), F.ceil(F.col("_from") * per_100 / 100))
+    # First bound, union against union: what no two members can pass, no query needs to ask.
+    pairs = written(unions.select("_token", F.col("_chunk").alias("_own"), F.col("_low").alias("_from"), F.col("_high").alias("_to"))
+                    .join(unions, "_token").where("_own < _chunk").where(fits)
+                    .groupBy("_own", "_chunk").agg(F.count("*").alias("_shared"), F.min("_from").alias("_from"))
+                    .where(F.col("_shared") >= share).select("_own", "_chunk"), "qualifying")
+
+    # Texts of the sets that are looked at: members of chunks of several sets, and of qualifying pairs.
     places = written(chunked.groupBy("_set").agg(F.min("_chunk").alias("_chunk"), F.min("_row").alias("_row")), "places")
     several = places.groupBy("_chunk").agg(F.count("*").alias("_n")).where("_n > 1").select("_chunk")
-    busy = written(several.union(qualifying.select("_chunk")).union(qualifying.select("_own")).distinct(), "busy-chunks")
-    looked = written(places.join(busy, "_chunk"), "looked-at")
-    texts = written(rows.join(looked.select("_row", "_set"), "_row").groupBy("_row", "_set").agg(F.first("_text").alias("_text")).drop("_row"), "texts")
+    busy = written(several.union(pairs.select("_chunk")).union(pairs.select("_own")).distinct(), "busy-chunks")
+    looked = written(places.join(busy.hint("merge"), "_chunk"), "looked-at")
+    texts = written(rows.join(looked.select("_row", "_set").hint("merge"), "_row").groupBy("_row", "_set").agg(F.first("_text").alias("_text")).drop("_row"), "texts")
 
-    inside = written(_inside(looked.select("_set", "_chunk").join(texts, "_set"), n, per_100), "inside")
-    members = looked.select("_set", "_chunk").join(inside, "_set")
-    asking = written(qualifying.join(inside, "_set").select("_set", "_label", "_chunk"), "asking")
+    inside = written(_inside(looked.select("_set", "_chunk").join(texts.hint("merge"), "_set"), n, per_100), "inside")
+    members = written(looked.select("_set", "_chunk").join(inside, "_set"), "members")
 
-    ahead = asking.groupBy("_label", "_chunk").agg(F.min("_set").alias("_set")).select("_set", "_label", "_chunk")
-    found = written(_opened(ahead, members, texts, n, per_100), "links-ahead")
+    # One set of each component inside a chunk goes ahead.
+    leaders = members.groupBy(F.col("_chunk").alias("_own"), "_label").agg(F.min("_set").alias("_set"))
+    ahead = written(pairs.join(leaders, "_own").select("_set", "_label", "_chunk"), "ahead")
+    found = written(_opened(ahead, members, texts, n, per_100, tables), "links-ahead")
     joined = components(found)
-    # What is left: queries whose component is not yet that of every member of the chunk.
-    named = lambda t: (t.join(joined, t["_label"] == joined["node"], "left")
-                       .withColumn("_component", F.coalesce("component", "_label")).drop("node", "component"))
-    spread = named(members).groupBy("_chunk").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"))
-    left = (named(asking).join(spread, "_chunk").where("_component <> _low OR _component <> _high")
-            .join(ahead.select(F.col("_set").alias("_gone"), F.col("_chunk").alias("_to")),
-                  (F.col("_set") == F.col("_gone")) & (F.col("_chunk") == F.col("_to")), "left_anti").select("_set", "_label", "_chunk"))
-    rest = written(left, "asking-late")
+    # What is left: pairs whose two chunks are not yet one component. Second bound, each set against the union.
+    named = written(members.join(joined, members["_label"] == joined["node"], "left")
+                    .select("_set", "_label", "_chunk", F.coalesce("component", "_label").alias("_component")), "named")
+    spread = named.groupBy("_chunk").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most"))
+    other = spread.select(F.col("_chunk").alias("_own"), F.col("_least").alias("_l"), F.col("_most").alias("_m"))
+    open_ = written(pairs.join(spread, "_chunk").join(other, "_own")
+                    .where("_least <> _most OR _l <> _m OR _least <> _l").select("_own", "_chunk", "_least", "_most"), "open-pairs")
+    late = (matrix.select("_token", "_set", F.col("_size").alias("_from"), F.col("_size").alias("_to"), F.col("_chunk").alias("_own"))
+            .join(open_, "_own").join(unions, ["_token", "_chunk"]).where(fits)
+            .groupBy("_set", "_chunk").agg(F.count("*").alias("_shared"), F.first("_from").alias("_from"), F.first("_least").alias("_least"), F.first("_most").alias("_most"))
+            .where(F.col("_shared") >= share)
+            .join(named.select("_set", "_label", "_component"), "_set").where("_component <> _least OR _component <> _most")
+            .join(ahead.select("_set", "_chunk"), ["_set", "_chunk"], "left_anti").select("_set", "_label", "_chunk"))
+    rest = written(late, "asking-late")
     if not rest.isEmpty():
-        late = written(_opened(rest, members, texts, n, per_100), "links-late")
-        joined = components(found.union(late))
+        more = written(_opened(rest, members, texts, n, per_100, tables), "links-late")
+        joined = components(found.union(more))
 
     classes = inside.join(joined, inside["_label"] == joined["node"], "left").select("_set", F.coalesce("component", "_label").alias("_class"))
     placed = written(seen.select("_row", "_id", "_size", "_set").join(classes, "_set", "left")
-                     .withColumn("_class", F.when(F.col("_size") > 0, F.coalesce("_class", "_set"))), "classes")
-    least = written(placed.where("_size > 0").groupBy("_class").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "least-ids")
+                     .withColumn("_class", F.when(F.col("_size") > 0, F.coalesce("_class", "_set"))), "classes", keep=True)
+    least = written(placed.where("_size > 0").groupBy("_class").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "least-ids", keep=True)
+    tables.drop()
     return placed.join(least, "_class", "left").select(
         F.col("_id").alias(id_col), F.col("_row").alias("row_key"), F.col("_size").cast("bigint").alias("n_shingles"),
         F.coalesce("_least", "_id").alias("component_id"))

@@ -31,9 +31,8 @@ def query(name: str, sql: str | None = None):
 
 def quality_model(spark: SparkSession, sf_dir: str) -> compression_quality.CompressionModel:
     """The classifier learned from labelled documents outside the held-out quarter."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    learned = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").where(~held_out("doc_id", 4))
-    return compression_quality.fit_compression_model(learned)
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 4))
+    return compression_quality.fit_compression_model(table(spark, sf_dir, "documents"), labels)
 
 
 @query("op1_quality_classifier")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WordHashes, as_bytes, mixed, row_key, slices, spans_mask, written
+from .text import Tables, WordHashes, as_bytes, mixed, row_key, slices, spans_mask
 
 WINDOW = 50
 LONGEST_RUN = 3
@@ -228,25 +228,28 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(row_key(id_col, text_col).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
 
-    seen = written(_elections(rows, window).where(F.col("_id").isNotNull()), "elections")
+    tables = Tables(df.sparkSession)
+    seen = tables.written(_elections(rows, window).where(F.col("_id").isNotNull()), "elections")
     # Whole copies: all but those of the smallest id lose every window.
-    classes = written(seen.where(F.col("_size") >= window).groupBy("_a", "_b", "_size")
+    classes = tables.written(seen.where(F.col("_size") >= window).groupBy("_a", "_b", "_size")
                       .agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").drop("_most"), "copies")
-    judged = written(seen.where(F.col("_size") >= window).join(classes, ["_a", "_b", "_size"], "left")
-                     .select("_row", "_id", "_keys", F.coalesce(F.col("_id") > F.col("_least"), F.lit(False)).alias("_copy")), "judged")
+    judged = tables.written(seen.where(F.col("_size") >= window).join(classes, ["_a", "_b", "_size"], "left")
+                            .select("_row", "_id", "_keys", F.coalesce(F.col("_id") > F.col("_least"), F.lit(False)).alias("_copy")), "judged")
     symbols = judged.where("NOT _copy").select("_row", "_id", F.explode("_keys").alias("_key"))
-    shared = written(symbols.groupBy("_key").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").select("_key"), "shared-symbols")
+    shared = tables.written(symbols.groupBy("_key").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").select("_key"), "shared-symbols")
     candidates = symbols.join(shared, "_key").groupBy("_row").agg(F.collect_set("_key").alias("_keys"))
 
     # The same exchange of the rows serves the verification and the removal below.
     placed = rows.repartition("_row")
     opened = placed.join(candidates, "_row").select("_row", "_id", "_text", "_keys")
-    windows = written(_windows(opened, window), "windows")
-    least = written(windows.groupBy("_a", "_b").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
-                    .where("_least < _most").select("_a", "_b", "_least"), "least")
+    windows = tables.written(_windows(opened, window), "windows", keep=True)
+    least = tables.written(windows.groupBy("_a", "_b").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
+                    .where("_least < _most").select("_a", "_b", "_least"), "least", keep=True)
     starts = (windows.join(least, ["_a", "_b"]).where(F.col("_id") > F.col("_least"))
               .groupBy("_row").agg(F.collect_set("_start").alias("_starts"), F.lit(False).alias("_copy")))
-    copies = judged.where("_copy").select("_row").distinct().select("_row", F.lit(None).cast("array<int>").alias("_starts"), F.lit(True).alias("_copy"))
+    copied = tables.written(judged.where("_copy").select("_row").distinct(), "copied", keep=True)
+    tables.drop()
+    copies = copied.select("_row", F.lit(None).cast("array<int>").alias("_starts"), F.lit(True).alias("_copy"))
     marked = placed.join(starts.unionByName(copies), "_row", "left").select("_row", "_id", "_text", "_starts", "_copy")
 
     def run(batches):

@@ -16,7 +16,7 @@ from ..session import scratch
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Words whose hashes one Python worker remembers before it starts afresh.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 100_000
 
 
 class WordHashes(dict):
@@ -64,7 +64,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice holds about ``most`` bytes of text (a longer text stands alone)."""
     for batch in batches:
         if not batch.num_rows:
@@ -98,6 +98,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one computation; those that its result no longer reads are dropped at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def written(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+        path = scratch(self._spark, label)
+        df.write.parquet(path)
+        if not keep:
+            self._paths.append(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        hadoop = self._spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self._paths:
+            target = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(hadoop).delete(target, True)
+        self._paths = []
+
+
 def blocks_of(df: DataFrame, *, rows: int) -> int:
     """How many blocks of about ``rows`` rows hold ``df``; one cheap count."""
     return max(1, -(-df.count() // rows))

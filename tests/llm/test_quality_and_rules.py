@@ -26,7 +26,8 @@ def labelled(n=120):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return cq.fit_compression_model(spark.createDataFrame(labelled(), "doc_id bigint, text string, quality int"))
+    rows = spark.createDataFrame(labelled(), "doc_id bigint, text string, quality int")
+    return cq.fit_compression_model(rows.drop("quality"), rows.drop("text"))
 
 
 def test_quality_tells_classes_apart(spark, model):
@@ -49,7 +50,8 @@ def test_quality_edges(spark, model):
 
 def test_quality_without_both_labels(spark):
     for rows in ([], [(1, "a b", 1)], [(1, None, 0), (2, "x", None), (None, "y", 1)]):
-        fitted = cq.fit_compression_model(spark.createDataFrame(rows, "doc_id bigint, text string, quality int"))
+        given = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+        fitted = cq.fit_compression_model(given.drop("quality"), given.drop("text"))
         assert 0 < keyed(cq.score_quality(frame(spark, [(1, "text")]), fitted))[1]["score"] < 1
 
 
