@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import calendar_columns, cyclic_columns, growth_proxy
-from ..functions.weather import degree_columns, synthetic_temperature
 from ..operators.metrics import anchors
 from ..operators.split import temporal_split
 from ..plans import backtest, evaluate, features as feats, forecast, gate, intervals, models
 from ..session import KEY
 from . import series as S
 from .core import cte, query
-from .modelling import QUICK
+from .modelling import CHECKED, _fitted
 from .scalars import _lagged
 from .windows import features_sql
 
@@ -30,6 +28,10 @@ def _requests(spark, sf):
     return open_.unionByName(fixed)
 
 
+cte("served", """
+SELECT * FROM requests UNION ALL SELECT 'new', 'no history', 12, TIMESTAMP '2024-02-10 06:00:00'""", "requests")
+
+
 def _anchors(demand):
     return demand.groupBy(KEY).agg(F.max("ts").alias("anchor_ts"))
 
@@ -98,25 +100,36 @@ def _(spark, sf):
     return forecast.recursive_linear(resolved, forecast.seed_arrays(demand), MODEL)
 
 
-def _scalar_features(ts):
-    temp = synthetic_temperature(ts, None)
-    return {**calendar_columns(ts, "serve"), **cyclic_columns(ts), **degree_columns(temp), "data_center_load_gw": growth_proxy(ts)}
-
-
-def _serving_features(df):
-    """All 32 model inputs of the next step, from the grown history and its hour."""
-    return df.withColumns({**_scalar_features(F.col("_ts")), **forecast.array_features(F.col("_history"))}).fillna(
-        0, subset=feats.feature_names())
+@query("fc_request_pipeline", "request_id series_id step:i ts:t pred:f lower_gw:f upper_gw:f", f"""
+SELECT request_id, series_id, step, start_ts + to_hours(step) AS ts, path[step + 1] AS pred,
+  path[step + 1] - 0.62 AS lower_gw, path[step + 1] + 0.61 AS upper_gw
+FROM (SELECT *, unnest(range(hours)) AS step FROM (
+  SELECT *, list_reduce(list_concat([seed], list_transform(range(hours), lambda h: [h::DOUBLE])), lambda a, i:
+      list_append(a, {{step}} + 0.05::DOUBLE * temps[i[1]::BIGINT + 1]))[len(seed) + 1:] AS path
+  FROM (SELECT r.request_id, r.series_id, r.hours, r.start_ts, coalesce(any_value(s.seed), list_transform(range(200), lambda x: 50.0::DOUBLE)) AS seed,
+          list(coalesce(f.temperature_f, {{proxy}}) ORDER BY h.ts) AS temps
+        FROM served r LEFT JOIN seeds s ON r.series_id = s.series_id
+        JOIN (SELECT request_id, start_ts + to_hours(unnest(range(hours))) AS ts FROM served) h ON h.request_id = r.request_id
+        LEFT JOIN forecast f ON f.ts = h.ts GROUP BY ALL)))""".replace("{step}", _step_sql("a")).replace("{proxy}", S.synthetic_sql("h.ts", False)),
+       "served seeds forecast")
+def _(spark, sf):
+    """Every request, also of a series without history, through the whole serving plan."""
+    demand = S.filled(spark, sf)
+    unknown = spark.createDataFrame([("new", "no history", 12, None)], "request_id string, series_id string, hours int, start_ts timestamp").withColumn(
+        "start_ts", F.lit("2024-02-10 06:00:00").cast("timestamp"))
+    model = forecast.LinearModel(MODEL.intercept, MODEL.lags, MODEL.mean_24h, temperature=0.05)
+    return forecast.serve_requests(_requests(spark, sf).unionByName(unknown), demand, _anchors(demand), model,
+                                   weather=S.temperature(spark, sf, "click"))
 
 
 @query("fc_recursive_trees", "request_id series_id step:i ts:t pred:f")
 def _(spark, sf):
     demand = S.canonical(spark, sf)
-    train, _ = temporal_split(feats.build_features(demand), "2024-02-01")
-    model = models.fit_trees(train, feats.feature_names(), QUICK)
-    resolved = forecast.resolve_requests(_requests(spark, sf), _anchors(demand)).where("request_id like 'open-%'")
+    model = _fitted(spark, sf)[0]
+    resolved = forecast.resolve_requests(_requests(spark, sf), _anchors(demand))
     return forecast.recursive_model(
-        resolved, forecast.seed_arrays(demand), 12, _serving_features, lambda d: models.score_trees(model, d))
+        models.with_levels(model.levels, model.overall, resolved), forecast.seed_arrays(demand),
+        forecast.serving_features, lambda d: models.score_trees(model, d))
 
 
 FILL_FEATURES = ["demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_mean_24h", "demand_roll_std_24h",
@@ -153,20 +166,24 @@ def _(spark, sf):
 
 @query("fc_interval", "request_id series_id step:i ts:t demand_gw:f lower_gw:f upper_gw:f")
 def _(spark, sf):
-    """Recursive point path; bounds are scored in one batch once the path is known."""
+    """Recursive path of the fitted model; bounds are scored in one batch once the path is known."""
     demand = S.canonical(spark, sf)
     rows = feats.build_features(demand).persist()
-    names = ["demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_mean_24h", "hour"]
-    train = rows.where("ts < timestamp'2024-01-24'")
-    calibration = rows.where("ts >= timestamp'2024-01-24'")
-    fit = models.fit_leaf_quantiles(train, names, depth=4)
-    offsets = intervals.conformal_offsets(fit.bounds(calibration), actual="demand_gw")
-    resolved = forecast.resolve_requests(_requests(spark, sf), _anchors(demand)).where("request_id like 'open-%'")
-    path = forecast.recursive_linear(resolved, forecast.seed_arrays(demand), MODEL)
-    history = demand.select(KEY, "ts", "demand_gw", F.lit(None).cast("int").alias("step"), F.lit(None).cast("string").alias("request_id"))
-    grown = history.unionByName(path.withColumnRenamed("pred", "demand_gw"))
+    names = feats.feature_names()
+    fit = models.fit_leaf_quantiles(rows.where("ts < timestamp'2024-01-22'"), names)
+    offsets = intervals.conformal_offsets(fit.bounds(rows.where("ts >= timestamp'2024-01-22'")), actual="demand_gw")
+    model = _fitted(spark, sf)[0]
+    resolved = forecast.resolve_requests(_requests(spark, sf), _anchors(demand))
+    path = forecast.recursive_model(
+        models.with_levels(model.levels, model.overall, resolved), forecast.seed_arrays(demand),
+        forecast.serving_features, lambda d: models.score_trees(model, d))
+    # Each request continues the history of its own series; requests do not see each other.
+    ids = resolved.select("request_id", KEY)
+    past = demand.join(ids, KEY).select("request_id", KEY, "ts", "demand_gw", F.lit(None).cast("int").alias("step"))
+    grown = past.unionByName(path.withColumnRenamed("pred", "demand_gw")).withColumnRenamed(KEY, "_series").withColumnRenamed("request_id", KEY)
     featured = feats.build_features(grown, policy="serve", holidays="serve").where("step is not null")
-    return intervals.widen(fit.bounds(featured), offsets).select(
+    served = featured.withColumnRenamed(KEY, "request_id").withColumnRenamed("_series", KEY).fillna(0, subset=names)
+    return intervals.widen(fit.bounds(served), offsets).select(
         "request_id", KEY, "step", "ts", "demand_gw", F.col("lower").alias("lower_gw"), F.col("upper").alias("upper_gw"))
 
 
@@ -196,7 +213,7 @@ def fold_ctes(source: str, prefix: str) -> None:
 SELECT series_id, min(ts) AS s, max(ts) AS e, min(ts) + INTERVAL 12 MONTH AS o FROM {source} GROUP BY 1""", source)
     cte(f"{prefix}_candidates", f"""
 SELECT series_id, s AS train_start, o + to_days(30 * k) AS test_start, o + to_days(30 * (k + 1)) AS test_end, k + 1 AS fold
-FROM (SELECT *, unnest(range(200)) AS k FROM {prefix}_origin) WHERE o + to_days(30 * (k + 1)) <= e""", f"{prefix}_origin")
+FROM (SELECT *, unnest(range(greatest(date_diff('day', o, e) // 30 + 1, 0))) AS k FROM {prefix}_origin) WHERE o + to_days(30 * (k + 1)) <= e""", f"{prefix}_origin")
     cte(f"{prefix}_sized", f"""
 SELECT c.series_id, c.fold, any_value(train_start) AS train_start, any_value(test_start) AS test_start,
        any_value(test_end) AS test_end, count(*) FILTER (d.ts < c.test_start) AS n_train,
@@ -293,14 +310,15 @@ def _(spark, sf):
 def _(spark, sf):
     rows = _daily_naive(spark, sf).withColumns({"dow": F.weekday("ts"), "month": F.month("ts")})
     names = ["pred", "dow", "month"]
-    quick = models.TreeParams(rounds=2, depth=2, step=0.3)
+    # One fit per fold, 67 of them: few rounds, all folds and rows.
+    params = models.TreeParams(rounds=4, depth=3, step=0.3)
 
     def score(model, test):
         scored = models.score_trees(model, test)
         return scored.select(KEY, "segment", "actual", F.col("prediction").alias("pred"))
 
     return backtest.walk_forward_model(
-        rows, lambda train: models.fit_trees(train, names, quick, "actual"), score, train_months=72, **GEOMETRY)
+        rows, lambda train: models.fit_trees(train, names, params, "actual"), score, **GEOMETRY)
 
 
 # On-demand windows
@@ -418,7 +436,7 @@ def _(spark, sf):
     state = demand.select(KEY).distinct().select(KEY, F.lit(120.0).alias("baseline_mape"), F.lit("2024-01-24").cast("date").alias("last_end_date"))
 
     def fit_and_score(train, test):
-        model = models.fit_trees(train, feats.feature_names(), QUICK)
+        model = models.fit_trees(train, feats.feature_names(), CHECKED)
         return models.long_predictions(models.score_trees(model, test), "trees")
 
     return gate.retrain(existing, increment, state, "2024-01-22", fit_and_score)

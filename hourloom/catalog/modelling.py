@@ -14,8 +14,8 @@ from .core import cte, query
 from .scalars import _lagged
 from .windows import features_sql
 
-# Rounds kept low here so that the check takes seconds; presets are in plans.models.
-QUICK = models.TreeParams(rounds=3, depth=3, step=0.3)
+# Full depth and inputs; the number of rounds is the only thing smaller than in plans.models.
+CHECKED = models.TreeParams(rounds=20, depth=6, step=0.2)
 CUT = "2024-01-22"
 
 
@@ -23,10 +23,18 @@ def _features(spark, sf):
     return feats.build_features(S.canonical(spark, sf)).persist()
 
 
+_FITS: dict[tuple[str, str], models.PooledTrees] = {}
+
+
 def _fitted(spark, sf):
-    rows = _features(spark, sf)
-    train, test = temporal_split(rows, CUT)
-    return models.fit_trees(train, feats.feature_names(), QUICK), train, test
+    """The model of a session and folder, fitted once: four queries read it."""
+    train, test = temporal_split(feats.build_features(S.canonical(spark, sf)), CUT)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITS:
+        kept = train.persist()
+        _FITS[key] = models.fit_trees(kept, feats.feature_names(), CHECKED)
+        kept.unpersist()
+    return _FITS[key], train, test
 
 
 @query("ml_point_fit", "series_id mae:f rmse:f mape:f")
@@ -48,7 +56,7 @@ def _(spark, sf):
     return models.feature_importance(_fitted(spark, sf)[0])
 
 
-@query("ml_permutation_importance", "feature importance:f")
+@query("ml_permutation_importance", "feature importance:f rows:i")
 def _(spark, sf):
     model, _, test = _fitted(spark, sf)
     return models.permutation_importance(model, test, feats.feature_names())
@@ -57,7 +65,7 @@ def _(spark, sf):
 @query("ml_quantile_fit", "series_id ts:t demand_gw:f lower:f median:f upper:f")
 def _(spark, sf):
     train, test = temporal_split(_features(spark, sf), CUT)
-    return models.fit_leaf_quantiles(train, feats.feature_names(), depth=4).bounds(test)
+    return models.fit_leaf_quantiles(train, feats.feature_names()).bounds(test)
 
 
 @query("ml_quantile_conformal", "series_id raw_coverage:f coverage:f")
@@ -66,7 +74,7 @@ def _(spark, sf):
     from ..operators.metrics import coverage
 
     rows = label_splits(_features(spark, sf), CUT, calibration=120)
-    fit = models.fit_leaf_quantiles(rows.where("split = 'train'"), feats.feature_names(), depth=4)
+    fit = models.fit_leaf_quantiles(rows.where("split = 'train'"), feats.feature_names())
     offsets = intervals.conformal_offsets(fit.bounds(rows.where("split = 'calibration'")), actual="demand_gw")
     test = intervals.widen(fit.bounds(rows.where("split = 'test'")), offsets)
     y, off = F.col("demand_gw"), F.col("conformal_offset")
@@ -132,8 +140,7 @@ def _daily_filled(spark, sf):
     """Daily order totals with missing days interpolated: long enough for the seasonal model."""
     from ..operators.clean import gap_fill
 
-    hourly = gap_fill(S.daily(spark, sf))
-    return hourly.where(F.hour("ts") == 0)
+    return gap_fill(S.daily(spark, sf), step="1 day")
 
 
 @query("ml_sarima_fit", "series_id ar1:f ar7:f ar8:f ma1:f ma7:f ma8:f sigma2:f aic:f bic:f n:i")

@@ -58,10 +58,11 @@ def hourly_grid(df: DataFrame, value: str = "demand_gw") -> DataFrame:
     )
 
 
-def _spread(df: DataFrame, value: str) -> DataFrame:
+def _spread(df: DataFrame, value: str, step: str = "1 hour") -> DataFrame:
     rows = with_neighbours(df.select(KEY, "ts", value), [value], side="next")
-    until = F.coalesce(F.col("_next.ts") - F.expr("interval 1 hour"), F.col("ts"))
-    return rows.withColumn("_hour", F.explode(F.sequence("ts", until, F.expr("interval 1 hour"))))
+    each = F.expr(f"interval {step}")
+    until = F.coalesce(F.col("_next.ts") - each, F.col("ts"))
+    return rows.withColumn("_hour", F.explode(F.sequence("ts", F.greatest(until, F.col("ts")), each)))
 
 
 def _hours(later: Column, earlier: Column) -> Column:
@@ -72,9 +73,9 @@ def _between(before: Column, after: Column, elapsed: Column, gap: Column) -> Col
     return before + (after - before) * elapsed / gap
 
 
-def gap_fill(df: DataFrame, value: str = "demand_gw") -> DataFrame:
-    """Hourly grid and linear interpolation in one pass over non-null rows."""
-    rows = _spread(df, value)
+def gap_fill(df: DataFrame, value: str = "demand_gw", step: str = "1 hour") -> DataFrame:
+    """Grid of ``step`` (hourly unless stated) and linear interpolation in one pass over non-null rows."""
+    rows = _spread(df, value, step)
     filled = F.when(F.col("_hour") == F.col("ts"), F.col(value)).otherwise(
         _between(
             F.col(value),

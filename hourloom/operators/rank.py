@@ -7,27 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import KEYS, with_positions
+from .buckets import KEYS, present, time_bucket, with_positions
 
-# Catalyst applies a row_number limit before the shuffle up to this many rows
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-LIMIT_BEFORE_SHUFFLE = 1000
 
+def _edge(df: DataFrame, n: int, keys: Sequence[str], order: str, tie_break: Sequence[str], last: bool) -> DataFrame:
+    """The first or last ``n`` rows of every time bucket: all that can be among those of the series.
 
-def tail(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = "ts") -> DataFrame:
-    """Last ``n`` rows by time of every series."""
-    if n <= LIMIT_BEFORE_SHUFFLE:
-        latest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-        return df.withColumn("_rn", F.row_number().over(latest)).where(f"_rn <= {n}").drop("_rn")
-    return with_positions(df, keys, order).where(f"_pos >= _n - {n}").drop("_pos", "_n")
+    Rows of equal time are ordered by ``tie_break`` and then by the other columns, as
+    ``with_positions`` orders them.
+    """
+    rest = [c for c in df.columns if c not in keys and c != order and c not in tie_break]
+    row = F.struct(order, *tie_break, *rest)
+    near = Window.partitionBy(*keys, "_near").orderBy(row.desc() if last else row)
+    ranked = present(df, [*keys, order]).withColumn("_near", time_bucket(order)).withColumn("_rn", F.row_number().over(near))
+    return ranked.where(f"_rn <= {n}").drop("_rn", "_near")
+
+
+def tail(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = "ts", tie_break: Sequence[str] = ()) -> DataFrame:
+    """Last ``n`` rows by time of every series; rows without key or time are no part of it."""
+    few = _edge(df, n, keys, order, tie_break, last=True)
+    return with_positions(few, keys, order, tie_break=tie_break).where(f"_pos >= _n - {n}").drop("_pos", "_n")
 
 
-def head(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = "ts") -> DataFrame:
+def head(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = "ts", tie_break: Sequence[str] = ()) -> DataFrame:
     """First ``n`` rows by time of every series."""
-    if n <= LIMIT_BEFORE_SHUFFLE:
-        first = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumn("_rn", F.row_number().over(first)).where(f"_rn <= {n}").drop("_rn")
-    return with_positions(df, keys, order).where(f"_pos < {n}").drop("_pos", "_n")
+    few = _edge(df, n, keys, order, tie_break, last=False)
+    return with_positions(few, keys, order, tie_break=tie_break).where(f"_pos < {n}").drop("_pos", "_n")
 
 
 def all_but_tail(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = "ts") -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.buckets import with_positions
 from ..operators.metrics import error_metrics
-from ..session import KEY
+from ..session import KEY, scratch
 from .features import PROFILES, build_features
-from .forecast import LinearModel, recursive_path
+from .forecast import LinearModel, history_rows, recursive_path
 from .linear import linear_prediction, moments, solve
 
 # Fold geometry, minimum sizes, window limits, summary threshold.
@@ -23,7 +23,6 @@ MIN_TEST = 24
 WINDOW_DAYS = (1, 90)
 RECURSIVE_HORIZON = 72
 MAPE_THRESHOLD = 3.5
-HISTORY = 200
 
 
 def _days(n: Column | int) -> Column:
@@ -141,7 +140,7 @@ def walk_forward_linear(df: DataFrame, xs: Sequence[str], y: str = "demand_gw",
     before = Window.partitionBy(KEY).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     grown = per_segment.select(
         KEY, "segment", F.array(*[F.sum(F.col("moments")[i]).over(before) for i in range(length)]).alias("moments")
-    ).where("segment >= 0")
+    ).where("segment >= 0 AND moments[0] > 0")  # a fold without earlier rows has no fit
     fits = solve(grown, len(xs), (KEY, "segment")).select(KEY, "segment", "coefs")
     scored = rows.join(fits, [KEY, "segment"]).select(
         KEY, "segment", F.col(y).alias("actual"), linear_prediction(xs, F.col("coefs")).alias("pred")
@@ -164,20 +163,29 @@ def walk_forward_model(
     sizes = {k: geometry[k] for k in ("train_months", "test_days") if k in geometry}
     rows = assign_folds(df, **sizes).persist()
     folds = fold_table(df, **geometry).persist()
-    numbers = [r[0] for r in folds.select("segment").distinct().orderBy("segment").collect()]
+    starts = folds.groupBy("segment").agg(F.min("test_start").alias("_first"))
+    first = {r["segment"]: r["_first"] for r in starts.collect()}
+    numbers = sorted(first)
 
     def one(k: int) -> DataFrame:
         alive = folds.where(F.col("segment") == k).select(KEY)
-        train = rows.where(F.col("segment") < k).join(alive, KEY, "left_semi")
+        # One model serves all series: nothing from after the earliest test start may reach it.
+        train = rows.where((F.col("segment") < k) & (F.col("ts") < F.lit(first[k]))).join(alive, KEY, "left_semi")
         test = rows.where(F.col("segment") == k).join(alive, KEY, "left_semi")
         return score(fit(train), test).select(KEY, "segment", "actual", "pred")
 
     with ThreadPoolExecutor(parallelism) as pool:
         parts = list(pool.map(one, numbers))
-    scored = parts[0]
-    for part in parts[1:]:
+    scored = rows.where("false").select(KEY, "segment", F.lit(0.0).alias("actual"), F.lit(0.0).alias("pred"))
+    for part in parts:
         scored = scored.unionByName(part)
-    return fold_metrics(scored, folds)
+    # Written once, so that the inputs can be let go.
+    path = scratch(df.sparkSession, "fold-scores")
+    scored.write.parquet(path)
+    out = df.sparkSession.read.schema(scored.schema).parquet(path)
+    rows.unpersist()
+    folds.unpersist()
+    return fold_metrics(out, fold_table(df, **geometry))
 
 
 def summarize_folds(folds: DataFrame, threshold: float = MAPE_THRESHOLD) -> DataFrame:
@@ -200,6 +208,7 @@ def summarize_folds(folds: DataFrame, threshold: float = MAPE_THRESHOLD) -> Data
 
 
 def clamp_window(days: int) -> int:
+    """Days as a request step may limit them; the windows below take any number."""
     return min(max(days, WINDOW_DAYS[0]), WINDOW_DAYS[1])
 
 
@@ -209,7 +218,7 @@ def oracle_window(df: DataFrame, days: int, predict: Callable[[DataFrame], Colum
     Series shorter than the window plus a week are left out. ``temperature``
     chooses the seasonal proxy (as served) or the stored values.
     """
-    n = clamp_window(days) * 24
+    n = days * 24
     base = df
     if temperature == "proxy":
         from ..functions.weather import synthetic_temperature
@@ -226,18 +235,19 @@ def recursive_window(df: DataFrame, days: int, model: LinearModel, reanchor_hour
     """The same window with predictions written back as lags.
 
     By default the recursion runs through the whole window. ``reanchor_hours``
-    restarts it from actual values every so many hours. Each restart needs the
-    ``HISTORY`` rows before it, so a row is copied to a bounded number of them.
+    restarts it from actual values every so many hours. Each restart needs the rows
+    before it that the model reads, so a row is copied to a bounded number of them.
     """
-    n = clamp_window(days) * 24
+    n = days * 24
+    history = history_rows(model)
     chunk = n if reanchor_hours is None else reanchor_hours
     rows = with_positions(df.select(KEY, "ts", "demand_gw")).where(F.col("_n") >= n + 168)
     first = F.col("_n") - n
     # Restart c covers positions [first + c * chunk, first + (c + 1) * chunk).
     into = F.col("_pos") - first
     low = F.greatest(F.floor(into / chunk), F.lit(0))
-    high = F.least(F.floor((into + HISTORY) / chunk), F.lit((n - 1) // chunk))
-    spread = rows.where(into >= -HISTORY).withColumn("_into", into).withColumn(
+    high = F.least(F.floor((into + history) / chunk), F.lit((n - 1) // chunk))
+    spread = rows.where(into >= -history).withColumn("_into", into).withColumn(
         "_chunk", F.explode(F.when(low <= high, F.sequence(low, high)))
     )
     item = F.struct("_into", "ts", "demand_gw")

@@ -8,9 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import calendar_columns, cyclic_columns, growth_proxy
+from ..functions.weather import degree_columns, synthetic_temperature
+from ..operators.joins import fill_temperature, join_weather
 from ..operators.rank import head, tail
 from ..session import KEY, ensure_checkpoints
-from .features import PROFILES
+from .features import PROFILES, feature_names
 from .intervals import const_band
 
 # Seed length, minimum seed from the fresher store, constant seed.
@@ -97,14 +100,15 @@ def clamped(values: Column, k: int) -> Column:
 
 @dataclass(frozen=True)
 class LinearModel:
-    """Fixed-coefficient predictor on lags, the trailing day mean and an hour term."""
+    """Fixed-coefficient predictor on lags, the trailing day mean, an hour term and the temperature."""
 
     intercept: float = 0.0
     lags: dict[int, float] = field(default_factory=dict)
     mean_24h: float = 0.0
     exogenous: Callable[[Column], Column] | None = None
+    temperature: float = 0.0
 
-    def step(self, history: Column, ts: Column) -> Column:
+    def step(self, history: Column, ts: Column, temperature: Column | None = None) -> Column:
         out = F.lit(self.intercept)
         for k, c in self.lags.items():
             out = out + clamped(history, k) * c
@@ -112,29 +116,93 @@ class LinearModel:
             out = out + array_mean(last_values(history, 24)) * self.mean_24h
         if self.exogenous is not None:
             out = out + self.exogenous(ts)
+        if self.temperature and temperature is not None:
+            out = out + temperature * self.temperature
         return out
 
 
-def recursive_path(history: Column, start: Column, hours: Column, model: LinearModel) -> Column:
-    """Array of predictions, each step reading the ones before it."""
+def history_rows(model: LinearModel, least: int = SEED_ROWS) -> int:
+    """Rows of history that a model reads: its longest lag, and the seed length at least."""
+    return max(least, 24, *model.lags)
+
+
+def seeded(requests: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Requests with their seed; a series without history gets the constant one."""
+    constant = F.array_repeat(F.lit(CONSTANT_SEED), SEED_ROWS)
+    joined = requests.join(seeds.select(KEY, F.col("seed").alias("_seed")), KEY, "left")
+    return joined.withColumn("seed", F.coalesce("_seed", constant)).drop("_seed")
+
+
+def recursive_path(history: Column, start: Column, hours: Column, model: LinearModel, temperatures: Column | None = None) -> Column:
+    """Array of predictions, each step reading the ones before it; ``temperatures`` has one value per step."""
+    warmth = lambda h: None if temperatures is None else F.get(temperatures, h)
     ts = lambda h: start + F.make_dt_interval(hours=h)
     grown = F.aggregate(
         F.sequence(F.lit(0), hours - 1),
         history,
-        lambda acc, h: F.concat(acc, F.array(model.step(acc, ts(h)))),
+        lambda acc, h: F.concat(acc, F.array(model.step(acc, ts(h), warmth(h)))),
     )
     return F.slice(grown, F.size(history) + 1, hours)
 
 
 def recursive_linear(requests: DataFrame, seeds: DataFrame, model: LinearModel) -> DataFrame:
     """Recursive forecast per resolved request, as one projection without a loop."""
-    rows = requests.join(seeds.select(KEY, "seed"), KEY)
+    rows = seeded(requests, seeds)
     path = recursive_path(F.col("seed"), F.col("start_ts"), F.col("hours"), model)
     return rows.select("request_id", KEY, "start_ts", F.posexplode(path).alias("step", "pred")).select(
         "request_id", KEY, "step", (F.col("start_ts") + F.make_dt_interval(hours=F.col("step"))).alias("ts"), "pred"
     )
 
 
+def horizon_temperatures(resolved: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Per request the temperature of every requested hour: the cached forecast, else the proxy."""
+    hours = fill_temperature(join_weather(request_hours(resolved), forecast), decimals=None)
+    packed = hours.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("step", "temperature_f"))).alias("_hours"))
+    return packed.select("request_id", F.col("_hours.temperature_f").alias("temperatures"))
+
+
+def serve_requests(
+    requests: DataFrame,
+    stored: DataFrame,
+    anchors: DataFrame,
+    model: LinearModel,
+    fresher: DataFrame | None = None,
+    weather: DataFrame | None = None,
+    band: str = "context",
+) -> DataFrame:
+    """Requests to forecast points with bounds, as one plan.
+
+    Start, seed (fresher store, stored one, constant) and shift to the anchor are resolved per
+    request, temperatures looked up, and the recursion runs as one array fold. All joins are
+    left joins: every request gets its ``hours`` points. ``stored`` and ``fresher`` are demand
+    rows; seeds are as long as the model needs.
+    """
+    resolved = resolve_requests(requests, anchors).drop("anchor_ts")
+    rows = history_rows(model)
+    seeds = choose_seed(requests, seed_arrays(stored, rows), None if fresher is None else seed_arrays(fresher, rows))
+    ready = seeded(resolved, bridge_seeds(seeds, anchors))
+    temperatures = None
+    if weather is not None:
+        ready = ready.join(horizon_temperatures(resolved, weather), "request_id", "left")
+        temperatures = F.col("temperatures")
+    path = recursive_path(F.col("seed"), F.col("start_ts"), F.col("hours"), model, temperatures)
+    points = ready.where("hours > 0").select("request_id", KEY, "start_ts", F.posexplode(path).alias("step", "pred")).select(
+        "request_id", KEY, "step", (F.col("start_ts") + F.make_dt_interval(hours=F.col("step"))).alias("ts"), "pred")
+    return const_band(points, band)
+
+
+def serving_scalars(ts: Column) -> dict[str, Column]:
+    """Calendar, cyclic, degree and growth inputs of an hour, with the proxy temperature."""
+    warmth = synthetic_temperature(ts, None)
+    return {**calendar_columns(ts, "serve"), **cyclic_columns(ts), **degree_columns(warmth), "data_center_load_gw": growth_proxy(ts)}
+
+
+def serving_features(df: DataFrame) -> DataFrame:
+    """All model inputs of the next step, from the grown ``_history`` and its hour ``_ts``."""
+    inputs = {**serving_scalars(F.col("_ts")), **array_features(F.col("_history"))}
+    return df.withColumns(inputs).fillna(0, subset=[n for n in feature_names() if n in inputs])
+
+
 def array_features(history: Column, upto: Column | None = None) -> dict[str, Column]:
     """Serving lags and rolling statistics of the position after ``history[:upto]``."""
     past = history if upto is None else F.slice(history, F.lit(1), upto)
@@ -155,7 +223,7 @@ FILLERS = {
 
 def filled_horizon(requests: DataFrame, seeds: DataFrame, policy: str) -> DataFrame:
     """Horizon rows whose lags read a constant instead of predictions, ready for batch scoring."""
-    rows = requests.join(seeds.select(KEY, "seed"), KEY)
+    rows = seeded(requests, seeds)
     grown = F.concat("seed", F.array_repeat(FILLERS[policy](F.col("seed")), F.col("hours")))
     rows = rows.withColumn("_grown", grown).withColumn("_size", F.size("seed"))
 
@@ -171,31 +239,37 @@ def filled_horizon(requests: DataFrame, seeds: DataFrame, policy: str) -> DataFr
 def recursive_model(
     requests: DataFrame,
     seeds: DataFrame,
-    hours: int,
     features: Callable[[DataFrame], DataFrame],
     score: Callable[[DataFrame], DataFrame],
     segment: int = 6,
 ) -> DataFrame:
-    """Recursion for any fitted model: every step advances all series at once.
+    """Recursion for any fitted model: every step advances all open requests at once.
 
-    The state is one row per request (its seed grown by the predictions), so a
-    step is a projection and a model transform, without a shuffle. ``features``
-    adds the model inputs given ``_ts`` and ``_history``; ``score`` adds
-    ``prediction``. Lineage is cut every ``segment`` steps by a checkpoint.
+    The state is one row per request (its columns and its seed grown by the predictions),
+    so a step is a projection and a model transform, without a shuffle. ``features`` adds
+    the model inputs given ``_ts`` and ``_history``; ``score`` adds ``prediction``. Every
+    ``segment`` steps a checkpoint cuts the lineage and finished requests leave the state;
+    each gets exactly its own ``hours`` points.
     """
     ensure_checkpoints(requests.sparkSession)
-    state = requests.join(seeds.select(KEY, "seed"), KEY).select(
-        "request_id", KEY, "start_ts", F.size("seed").alias("_size"), F.col("seed").alias("_history")
-    )
-    for h in range(hours):
+    state = seeded(requests, seeds).withColumns({"_size": F.size("seed"), "_history": F.col("seed")}).drop("seed")
+    names = [c for c in state.columns if c != "_history"]
+    longest = requests.agg(F.max("hours")).head()[0] or 0
+    done = [state.where("hours <= 0 OR hours IS NULL")]
+    state = state.where("hours > 0")
+    for h in range(longest):
         at = state.withColumn("_ts", F.col("start_ts") + F.make_dt_interval(hours=F.lit(h)))
-        scored = score(features(at))
         grown = F.concat("_history", F.array(F.col("prediction").cast("double")))
-        state = scored.select("request_id", KEY, "start_ts", "_size", grown.alias("_history"))
-        if (h + 1) % segment == 0 or h + 1 == hours:
+        state = score(features(at)).select(*names, grown.alias("_history"))
+        if (h + 1) % segment == 0 or h + 1 == longest:
             state = state.checkpoint()
-    path = F.slice("_history", F.col("_size") + 1, F.lit(hours))
-    return state.select("request_id", KEY, "start_ts", F.posexplode(path).alias("step", "pred")).select(
+            done.append(state.where(F.col("hours") <= h + 1))
+            state = state.where(F.col("hours") > h + 1)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    path = F.slice("_history", F.col("_size") + 1, F.greatest(F.col("hours"), F.lit(0)))
+    return out.where("hours > 0").select("request_id", KEY, "start_ts", F.posexplode(path).alias("step", "pred")).select(
         "request_id", KEY, "step", (F.col("start_ts") + F.make_dt_interval(hours=F.col("step"))).alias("ts"), "pred"
     )
 

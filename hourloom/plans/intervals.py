@@ -44,12 +44,15 @@ def conformal_offsets(
 
 
 def widen(df: DataFrame, offsets: DataFrame, keys: Sequence[str] = (KEY,), lower="lower", upper="upper") -> DataFrame:
-    """Apply the offsets; bounds are not clamped and may cross."""
-    return (
-        df.join(offsets, list(keys))
-        .withColumn(lower, F.col(lower) - F.col("conformal_offset"))
-        .withColumn(upper, F.col(upper) + F.col("conformal_offset"))
-    )
+    """Apply the offsets; bounds are not clamped and may cross.
+
+    A group without calibration rows gets the mean offset of the others, or none at all if
+    there are no others.
+    """
+    pooled = offsets.agg(F.avg("conformal_offset").alias("_pooled")).scalar()
+    offset = F.coalesce("conformal_offset", pooled, F.lit(0.0))
+    return df.join(offsets, list(keys), "left").withColumn("conformal_offset", offset).withColumns({
+        lower: F.col(lower) - F.col("conformal_offset"), upper: F.col(upper) + F.col("conformal_offset")})
 
 
 def const_band(df: DataFrame, band: str = "context", point: str = "pred") -> DataFrame:

@@ -49,6 +49,11 @@ def solve(table: DataFrame, n_features: int, keys: Sequence[str] = (KEY,)) -> Da
                 gram[upper] = m[: len(upper[0])]
                 gram = gram + np.triu(gram, 1).T
                 xty, yty = m[-width - 1 : -1], m[-1]
+                if not np.isfinite(m).all() or gram[0, 0] == 0:  # no rows, or none to fit
+                    coefs.append(None)
+                    rss.append(None)
+                    count.append(0)
+                    continue
                 beta = np.linalg.lstsq(gram, xty, rcond=1e-12)[0]
                 coefs.append(beta.tolist())
                 rss.append(max(float(yty - beta @ xty), 0.0))

@@ -6,8 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.buckets import with_positions
 from ..operators.quantile import quantiles
 from ..operators.rank import tail
-from ..session import KEY, ensure_checkpoints
+from ..session import KEY, ensure_checkpoints, scratch
 from .features import build_features
 
 # Levels of the interval models, attribution and context lengths.
@@ -42,15 +41,42 @@ RETRAINING = TreeParams(rounds=700)
 FOLDS = TreeParams(rounds=150, depth=5, step=0.08)
 
 
-def fit_trees(train: DataFrame, features: Sequence[str], params: TreeParams = TRAINING, target: str = "demand_gw") -> PipelineModel:
-    """One boosted model pooled over all series, with the series as a categorical feature."""
-    spark = train.sparkSession
-    ensure_checkpoints(spark)
-    index = StringIndexer(inputCol=KEY, outputCol="_series", handleInvalid="keep")
-    n_series = train.select(F.count_distinct(KEY)).head()[0]
-    # A categorical split needs one bin per series; beyond that the pooled lags alone carry the level.
-    pooled_key = n_series < 512
-    inputs = [*features, "_series"] if pooled_key else list(features)
+@dataclass(frozen=True)
+class PooledTrees:
+    """A boosted model over all series, and what it knows of each series' level."""
+
+    model: PipelineModel
+    levels: DataFrame
+    overall: tuple[float, float]
+
+
+LEVELS = ("_level", "_spread")
+
+
+def with_levels(levels: DataFrame, overall: tuple[float, float], df: DataFrame) -> DataFrame:
+    """Add the training mean and deviation of each row's series; those of all rows for a new series."""
+    if LEVELS[0] in df.columns:
+        return df
+    return df.join(levels, KEY, "left").fillna(dict(zip(LEVELS, overall)))
+
+
+def series_levels(train: DataFrame, target: str) -> tuple[DataFrame, tuple[float, float]]:
+    """Per series and over all rows: mean and deviation of the target, combined map-side."""
+    mean, spread = F.avg(target), F.coalesce(F.stddev(target), F.lit(0.0))
+    path = scratch(train.sparkSession, "levels")
+    train.groupBy(KEY).agg(mean.alias("_level"), spread.alias("_spread")).write.parquet(path)
+    overall = train.agg(F.coalesce(mean, F.lit(0.0)), spread).head()
+    return train.sparkSession.read.parquet(path), (float(overall[0]), float(overall[1]))
+
+
+def fit_trees(train: DataFrame, features: Sequence[str], params: TreeParams = TRAINING, target: str = "demand_gw", bins: int = 32) -> PooledTrees:
+    """One boosted model pooled over all series.
+
+    Level and spread of the series are numeric inputs, for any number of series alike;
+    ``bins`` sets how finely every input is cut.
+    """
+    ensure_checkpoints(train.sparkSession)
+    levels, overall = series_levels(train.select(KEY, target), target)
     trees = GBTRegressor(
         featuresCol="_x",
         labelCol=target,
@@ -60,26 +86,29 @@ def fit_trees(train: DataFrame, features: Sequence[str], params: TreeParams = TR
         stepSize=params.step,
         subsamplingRate=params.rows,
         featureSubsetStrategy=str(params.columns),
-        maxBins=max(32, n_series + 2) if pooled_key else 32,
+        maxBins=bins,
         seed=params.seed,
         checkpointInterval=10,
     )
-    stages = [VectorAssembler(inputCols=inputs, outputCol="_x"), trees]
-    return Pipeline(stages=[index, *stages] if pooled_key else stages).fit(train.select(KEY, *features, target))
+    rows = with_levels(levels, overall, train.select(KEY, *features, target))
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=[*features, *LEVELS], outputCol="_x"), trees])
+    return PooledTrees(pipeline.fit(rows), levels, overall)
 
 
-def score_trees(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score_trees(fitted: PooledTrees, df: DataFrame) -> DataFrame:
     """Add ``prediction``; nulls among the inputs must have been filled."""
-    return model.transform(df).drop("_x", "_series")
+    kept = [] if LEVELS[0] not in df.columns else list(LEVELS)
+    scored = fitted.model.transform(with_levels(fitted.levels, fitted.overall, df))
+    return scored.drop("_x", *[c for c in LEVELS if c not in kept])
 
 
 def long_predictions(scored: DataFrame, name: str, target: str = "demand_gw") -> DataFrame:
     return scored.select(KEY, "ts", F.col(target).alias("actual"), F.lit(name).alias("model"), F.col("prediction").alias("pred"))
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """Importance per feature, largest first; one row per feature, from the model itself."""
-    trees, assembler = model.stages[-1], model.stages[-2]
+def feature_importance(fitted: PooledTrees) -> DataFrame:
+    """Importance per input, largest first; one row per input, from the model itself."""
+    trees, assembler = fitted.model.stages[-1], fitted.model.stages[-2]
     weights = trees.featureImportances.toArray().tolist()
     rows = [(f, i, float(w)) for i, (f, w) in enumerate(zip(assembler.getInputCols(), weights))]
     return SparkSession.active().createDataFrame(rows, "feature string, feature_order int, importance double").orderBy(
@@ -93,10 +122,13 @@ class LeafQuantiles:
 
     model: PipelineModel
     leaves: DataFrame
+    levels: DataFrame
+    overall: tuple[float, float]
 
     def bounds(self, df: DataFrame) -> DataFrame:
         """Add ``lower``, ``median`` and ``upper``."""
-        at = self.model.transform(df).drop("_x", "_point").withColumn("_leaf", F.col("_leaf").cast("int"))
+        placed = self.model.transform(with_levels(self.levels, self.overall, df))
+        at = placed.drop("_x", "_point", *LEVELS).withColumn("_leaf", F.col("_leaf").cast("int"))
         return at.join(F.broadcast(self.leaves), "_leaf").drop("_leaf")
 
 
@@ -110,24 +142,25 @@ def fit_leaf_quantiles(
     """Conditional quantiles in the manner of quantile regression forests (Meinshausen 2006).
 
     Spark ML has no quantile loss: a tree splits the feature space and the exact
-    quantiles of each leaf are taken with the distributed rank.
+    quantiles of each leaf are taken with the distributed rank. Level and spread of
+    the series are inputs, so small series do not get the bounds of large ones.
     """
     ensure_checkpoints(train.sparkSession)
     tree = DecisionTreeRegressor(
         featuresCol="_x", labelCol=target, predictionCol="_point", leafCol="_leaf",
         maxDepth=depth, minInstancesPerNode=20, seed=42,
     )
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), tree]).fit(
-        train.select(*features, target)
-    )
-    placed = model.transform(train.select(*features, target)).select(F.col("_leaf").cast("int").alias("_leaf"), target)
+    levels, overall = series_levels(train.select(KEY, target), target)
+    rows = with_levels(levels, overall, train.select(KEY, *features, target))
+    model = Pipeline(stages=[VectorAssembler(inputCols=[*features, *LEVELS], outputCol="_x"), tree]).fit(rows)
+    placed = model.transform(rows).select(F.col("_leaf").cast("int").alias("_leaf"), target)
     table = quantiles(placed, ["_leaf"], target, list(levels.values()))
     wide = table.groupBy("_leaf").agg(
         *[F.max(F.when(F.col("level") == q, F.col("value"))).alias(name) for name, q in levels.items()]
     )
     # The leaf table is part of the model: at most 2 ** depth rows, fixed once fitted.
     leaves = train.sparkSession.createDataFrame(wide.collect(), wide.schema)
-    return LeafQuantiles(model, leaves)
+    return LeafQuantiles(model, leaves, levels, overall)
 
 
 # Attributions of a linear predictor are exact: coefficient times centred feature.
@@ -154,26 +187,36 @@ def mean_attribution(df: DataFrame, coefs: Mapping[str, float], rows: int = ATTR
     return wide.unpivot([KEY], list(coefs), "feature", "importance").withColumn("feature_order", order[F.col("feature")])
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str = "demand_gw", seed: int = 42) -> DataFrame:
+# Rows of one task's share of the random order; a share of one row would have nothing to swap with.
+SHARE_ROWS = 2048
+
+
+def permutation_importance(fitted: PooledTrees, df: DataFrame, features: Sequence[str], target: str = "demand_gw", seed: int = 42) -> DataFrame:
     """Rise in mean squared error when a feature is exchanged between rows.
 
-    Values are swapped along a random order cut into buckets, so that no task
-    sorts the whole table; all features are scored in one plan.
+    Every row takes the feature of the next row in a random order cut into shares, and the last
+    row of a share that of its first, so all rows are scored whatever their number. The order is
+    a hash of series, time and seed: a retried task repeats it. All features are scored in one plan.
     """
-    shuffled = Window.partitionBy("_part").orderBy("_rand")
-    base = df.withColumn("_rand", F.rand(seed)).withColumn("_part", F.floor(F.rand(seed + 1) * 4096))
-    base = base.withColumn("_swap", F.lead(F.struct(*features)).over(shuffled)).where("_swap is not null")
+    shares = max(1, df.count() // SHARE_ROWS)
+    order = F.xxhash64(KEY, "ts", F.lit(seed))
+    share = Window.partitionBy("_part").orderBy("_rand")
+    base = df.withColumns({"_rand": order, "_part": F.pmod(F.xxhash64(order, F.lit("share")), F.lit(shares))})
+    taken = F.struct(*features)
+    whole = share.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = base.withColumn("_swap", F.coalesce(F.lead(taken).over(share), F.first(taken).over(whole)))
     cases = F.array(F.lit(""), *[F.lit(f) for f in features])
     long = base.withColumn("_case", F.explode(cases)).withColumns(
         {f: F.when(F.col("_case") == f, F.col(f"_swap.{f}")).otherwise(F.col(f)) for f in features}
     )
-    scored = score_trees(model, long.drop("_swap"))
+    scored = score_trees(fitted, long.drop("_swap", "_rand", "_part"))
     error = scored.groupBy(F.col("_case").alias("feature")).agg(
-        F.avg((F.col(target) - F.col("prediction")) * (F.col(target) - F.col("prediction"))).alias("mse")
+        F.avg((F.col(target) - F.col("prediction")) * (F.col(target) - F.col("prediction"))).alias("mse"), F.count("*").alias("rows")
     )
-    # One row per feature.
-    plain = error.where("feature = ''").select(F.col("mse").alias("_base"))
-    return error.where("feature <> ''").join(F.broadcast(plain)).select("feature", (F.col("mse") - F.col("_base")).alias("importance"))
+    # One row per feature, so one small window holds them all with the unchanged case.
+    every = Window.partitionBy(F.lit(0))
+    plain = F.max(F.when(F.col("feature") == "", F.col("mse"))).over(every)
+    return error.withColumn("importance", F.col("mse") - plain).where("feature <> ''").select("feature", "importance", "rows")
 
 
 def context_window(df: DataFrame, rows: int = CONTEXT_ROWS, warm_up: int = WARM_UP) -> DataFrame:

@@ -22,10 +22,6 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # Dozens of columns derived from one timestamp make inferred constraints
-    # multiply during planning, and filters inferred for one branch only keep
-    # Spark from reusing the exchange that two branches share.
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return spark
 
 

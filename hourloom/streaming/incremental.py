@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.clean import dedup_first
 from ..operators.joins import fill_temperature, join_weather, new_rows_only
 from ..session import KEY, path_exists, scratch
 
-# Reporting lag of the load service and archive lag of the weather service.
+# Reporting lag of the load service.
 LATE_LOAD = "2 days"
 LATE_WEATHER = "6 days"
 
@@ -79,20 +77,34 @@ def latest_versions(spark: SparkSession, path: str, keys=(KEY, "ts")) -> DataFra
     return picked.select(*keys, "_r.*")
 
 
+def _near(spark: SparkSession, path: str, batch: DataFrame, others: Column, hours: int = 0) -> DataFrame | None:
+    """Rows stored by ``others`` among the batches, in the time range of this one, widened by ``hours`` on both sides.
+
+    The store is partitioned by batch and day, so only the days in range are listed and read.
+    """
+    low, high = batch.agg(F.min("ts"), F.max("ts")).head()
+    if low is None or not path_exists(batch.sparkSession, path):
+        return None
+    wide = F.make_dt_interval(hours=F.lit(hours))
+    days = F.col("day").between(F.to_date(F.lit(low) - wide), F.to_date(F.lit(high) + wide))
+    return spark.read.parquet(path).where(others & days).drop("day", "batch_id")
+
+
+def _store(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+
+
 def merge_sink(path: str, keys=(KEY, "ts"), tie_break: str | None = None) -> Callable[[DataFrame, int], None]:
     """Insert-only merge: stored keys win. The checkpoint takes the place of a state file.
 
-    Each batch goes to a folder of its own and is compared with the other
-    folders only, so a replayed batch neither loses nor repeats rows.
+    Each batch goes to a folder of its own and is compared with the rows of the same days in
+    the earlier folders only, so a replayed batch neither loses nor repeats rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         unique = dedup_first(batch, tie_break, keys) if tie_break else batch.dropDuplicates(list(keys))
-        fresh = unique
-        if path_exists(batch.sparkSession, path):
-            stored = batch.sparkSession.read.parquet(path).where(F.col("batch_id") < batch_id)
-            fresh = new_rows_only(stored, unique, keys)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        stored = _near(batch.sparkSession, path, batch, F.col("batch_id") < batch_id)
+        _store(unique if stored is None else new_rows_only(stored, unique, keys), path, batch_id)
 
     return write
 
@@ -102,43 +114,30 @@ def enrich_weather(stream: DataFrame, temperature: DataFrame) -> DataFrame:
     return fill_temperature(join_weather(stream, temperature), decimals=None)
 
 
-class LagState(StatefulProcessor):
-    """Keeps the last ``depth`` values of a series and emits the lags of each new row."""
-
-    depth = 200
-    lags = (1, 24, 168)
+LAGS = (1, 24, 168)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._values = handle.getListState("values", T.StructType([T.StructField("v", T.DoubleType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        history = [v for (v,) in self._values.get()] if self._values.exists() else []
-        for pdf in rows:
-            pdf = pdf.sort_values("ts")
-            out = {f"lag_{k}": [] for k in self.lags}
-            for value in pdf["demand_gw"]:
-                for k in self.lags:
-                    out[f"lag_{k}"].append(history[-k] if len(history) >= k else None)
-                history.append(float(value))
-                history = history[-self.depth :]
-            yield pdf[[KEY, "ts", "demand_gw"]].assign(**{c: pd.Series(v, dtype="float64", index=pdf.index) for c, v in out.items()})
-        self._values.put([(v,) for v in history])
+def lag_sink(values: str, out: str, lags=LAGS) -> Callable[[DataFrame, int], None]:
+    """Lags by time of a stream of hourly rows, right for any order of arrival.
 
-    def close(self) -> None:
-        pass
-
-
-LAG_SCHEMA = T.StructType([
-    T.StructField(KEY, T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("demand_gw", T.DoubleType()),
-    *[T.StructField(f"lag_{k}", T.DoubleType()) for k in LagState.lags],
-])
+    A batch stores its values and then writes, as its own version, the lags of every row that
+    it touches: its own rows, and stored rows that a late value is a lag of. It reads stored
+    values of its time range widened by the longest lag, joined by series and hour, so no
+    series gathers in one task. Read the result with ``latest_versions``.
+    """
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(KEY, "ts", "demand_gw").where(F.col(KEY).isNotNull() & F.col("ts").isNotNull()).dropDuplicates([KEY, "ts"])
+        _store(new, values, batch_id)
+        new = spark.read.parquet(f"{values}/batch_id={batch_id}").drop("day")
+        stored = _near(spark, values, new, F.col("batch_id") != batch_id, max(lags))
+        known = new if stored is None else new.unionByName(stored.join(new, [KEY, "ts"], "left_anti"))
+        later = lambda h: (F.col("ts") + F.make_dt_interval(hours=h)).alias("ts")
+        touched = new.select(KEY, F.explode(F.array(F.lit(0), *map(F.lit, lags))).alias("_h"), "ts").select(KEY, later(F.col("_h"))).distinct()
+        result = known.join(touched, [KEY, "ts"], "left_semi")
+        for k in lags:
+            result = result.join(known.select(KEY, later(F.lit(k)), F.col("demand_gw").alias(f"lag_{k}")), [KEY, "ts"], "left")
+        result.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-def lag_state(stream: DataFrame) -> DataFrame:
-    """Lags of a stream of hourly rows that arrive in time order per series."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(KEY).transformWithStateInPandas(
-        statefulProcessor=LagState(), outputStructType=LAG_SCHEMA, outputMode="Append", timeMode="None"
-    )
+    return write

@@ -43,7 +43,7 @@ def test_step_loop_equals_fold(spark):
     resolved = forecast.resolve_requests(requests(spark, 8), anchors)
     seeds = forecast.seed_arrays(df)
     score = lambda d: d.withColumn("prediction", MODEL.step(F.col("_history"), F.col("_ts")))
-    looped = forecast.recursive_model(resolved, seeds, 8, lambda d: d, score, segment=3).toPandas().sort_values("step")
+    looped = forecast.recursive_model(resolved, seeds, lambda d: d, score, segment=3).toPandas().sort_values("step")
     folded = forecast.recursive_linear(resolved, seeds, MODEL).toPandas().sort_values("step")
     np.testing.assert_allclose(looped["pred"], folded["pred"])
 
@@ -121,3 +121,30 @@ def test_precomputed_bands(spark):
                                "series_id string, ts timestamp, actual double, pred double, lower_gw double")
     rows = forecast.precomputed(df, 2).orderBy("ts").collect()
     assert [r.lower_gw for r in rows] == [pytest.approx(1.38), 2.5] and rows[1].upper_gw == pytest.approx(3.61)
+
+
+def test_each_request_gets_its_own_hours(spark):
+    df = spark.createDataFrame(demand(220, series=("a", "b"), temperature=False))
+    asked = spark.createDataFrame([("x", "a", 48), ("y", "b", 3), ("z", "unknown", 5)], "request_id string, series_id string, hours int").withColumn(
+        "start_ts", F.lit("2023-02-01").cast("timestamp"))
+    score = lambda d: d.withColumn("prediction", MODEL.step(F.col("_history"), F.col("_ts")))
+    got = forecast.recursive_model(asked, forecast.seed_arrays(df), lambda d: d, score, segment=4)
+    counts = {r["request_id"]: r["count"] for r in got.groupBy("request_id").count().collect()}
+    assert counts == {"x": 48, "y": 3, "z": 5}
+    served = forecast.serve_requests(asked, df, df.groupBy("series_id").agg(F.max("ts").alias("anchor_ts")), MODEL)
+    assert {r["request_id"]: r["count"] for r in served.groupBy("request_id").count().collect()} == counts
+
+
+def test_window_reads_the_longest_lag(spark):
+    pdf = demand(960, temperature=False)
+    pdf["demand_gw"] = np.arange(960.0)
+    got = collect(backtest.recursive_window(spark.createDataFrame(pdf), 1, forecast.LinearModel(lags={336: 1.0})))
+    np.testing.assert_allclose(got["pred"], np.arange(960 - 24 - 336, 960 - 336))
+
+
+def test_linear_folds_without_earlier_rows(spark):
+    pdf = demand(24 * 200, temperature=False).iloc[::24].reset_index(drop=True)
+    pdf["x"] = np.where(np.arange(200) < 80, np.nan, 1.0 * np.arange(200))
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
+    got = backtest.walk_forward_linear(df, ["x"], train_months=2, test_days=20, min_train=30, min_test=10)
+    assert 0 < got.count() < backtest.fold_table(df, train_months=2, test_days=20, min_train=30, min_test=10).count()

@@ -92,8 +92,12 @@ def test_trees_leaf_quantiles_and_importance(spark):
     model = models.fit_trees(rows, names, models.TreeParams(rounds=5, depth=4, step=0.3))
     err = models.score_trees(model, rows).select(F.avg(F.abs(F.col("prediction") - F.col("demand_gw")))).head()[0]
     assert err < 3
-    assert {r.feature for r in models.feature_importance(model).collect()} == {"hour", "demand_lag_24h", "_series"}
-    perm = {r.feature: r.importance for r in models.permutation_importance(model, rows, names).collect()}
+    assert {r.feature for r in models.feature_importance(model).collect()} == {"hour", "demand_lag_24h", "_level", "_spread"}
+    scored = models.permutation_importance(model, rows, names).collect()
+    assert {r.rows for r in scored} == {rows.count()}
+    for few in (1, 2):
+        assert {r.rows for r in models.permutation_importance(model, rows.limit(few), names).collect()} == {few}
+    perm = {r.feature: r.importance for r in scored}
     assert set(perm) == set(names) and max(perm.values()) > 1
     fit = models.fit_leaf_quantiles(rows, names, depth=3)
     inside = fit.bounds(rows).select(F.avg(F.col("demand_gw").between(F.col("lower"), F.col("upper")).cast("double"))).head()[0]
@@ -136,3 +140,10 @@ def test_retrain_needs_weather_on_new_rows(spark, enrich):
     assert out.outcome == "PROMOTED" and out.data_rows == 400
     assert seen == [110 if enrich else 10]
     assert "temperature_f" in fill_temperature(new).columns
+
+
+def test_widen_keeps_groups_without_calibration(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 2.0)], "series_id string, lower double, upper double")
+    offsets = spark.createDataFrame([("a", 0.5)], "series_id string, conformal_offset double")
+    assert {r.series_id: (r.lower, r.upper) for r in intervals.widen(rows, offsets).collect()} == {"a": (0.5, 2.5), "b": (0.5, 2.5)}
+    assert intervals.widen(rows, offsets.where("false")).where("lower = 1").count() == 2

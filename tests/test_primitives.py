@@ -114,6 +114,16 @@ def test_tail_and_head_both_ways(spark):
     assert rank.all_but_tail(df, 1200).count() == 300
 
 
+def test_ties_are_cut_alike_for_any_number(spark):
+    pdf = demand(1500, temperature=False)
+    pdf["ts"] = pdf["ts"].iloc[np.arange(1500) // 2 * 2].to_numpy()
+    df = spark.createDataFrame(pdf)
+    order = pdf.sort_values(["ts", "demand_gw"])
+    for n in (999, 1001):
+        assert sorted(collect(rank.tail(df, n))["demand_gw"]) == sorted(order["demand_gw"].tail(n))
+        assert sorted(collect(rank.head(df, n))["demand_gw"]) == sorted(order["demand_gw"].head(n))
+
+
 def test_histogram_equals_numpy(spark):
     pdf = demand(500, temperature=False)
     got = metrics.histogram(spark.createDataFrame(pdf), "demand_gw", 60).toPandas().set_index("bin")["n"]

@@ -77,14 +77,16 @@ def test_merge_sink_survives_replay(spark, tmp_path):
     assert got == [("a", 0.5), ("b", 2.0)]
 
 
-def test_lag_state_keeps_order_over_batches(spark, tmp_path):
+@pytest.mark.parametrize("order", [lambda i: i // 20, lambda i: i % 3, lambda i: 2 - i // 20])
+def test_lags_are_right_for_any_order_of_files(spark, tmp_path, order):
     pdf = demand(60, temperature=False)
     src = tmp_path / "src"
-    for i in range(3):
-        spark.createDataFrame(pdf.iloc[i * 20 : (i + 1) * 20]).coalesce(1).write.mode("append").parquet(str(src))
+    for k in range(3):
+        part = pdf[[order(i) == k for i in range(60)]]
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema("series_id string, ts timestamp, demand_gw double").option("maxFilesPerTrigger", 1).parquet(str(src))
-    out = str(tmp_path / "out")
-    inc.run_available(inc.lag_state(stream), inc.versioned_sink(out), checkpoint=str(tmp_path / "cp"))
-    got = spark.read.parquet(out).toPandas().sort_values("ts")
-    assert list(got["lag_1"].iloc[1:]) == list(pdf["demand_gw"].iloc[:-1])
-    assert got["lag_24"].notna().sum() == 36
+    values, out = str(tmp_path / "values"), str(tmp_path / "out")
+    inc.run_available(stream, inc.lag_sink(values, out), checkpoint=str(tmp_path / "cp"))
+    got = inc.latest_versions(spark, out).toPandas().sort_values("ts")
+    assert len(got) == 60 and list(got["lag_1"].iloc[1:]) == list(pdf["demand_gw"].iloc[:-1])
+    assert list(got["lag_24"].dropna()) == list(pdf["demand_gw"].iloc[:36])
