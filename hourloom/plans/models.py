@@ -150,8 +150,8 @@ def fit_leaf_quantiles(
         featuresCol="_x", labelCol=target, predictionCol="_point", leafCol="_leaf",
         maxDepth=depth, minInstancesPerNode=20, seed=42,
     )
-    levels, overall = series_levels(train.select(KEY, target), target)
-    rows = with_levels(levels, overall, train.select(KEY, *features, target))
+    scales, overall = series_levels(train.select(KEY, target), target)
+    rows = with_levels(scales, overall, train.select(KEY, *features, target))
     model = Pipeline(stages=[VectorAssembler(inputCols=[*features, *LEVELS], outputCol="_x"), tree]).fit(rows)
     placed = model.transform(rows).select(F.col("_leaf").cast("int").alias("_leaf"), target)
     table = quantiles(placed, ["_leaf"], target, list(levels.values()))
@@ -160,7 +160,7 @@ def fit_leaf_quantiles(
     )
     # The leaf table is part of the model: at most 2 ** depth rows, fixed once fitted.
     leaves = train.sparkSession.createDataFrame(wide.collect(), wide.schema)
-    return LeafQuantiles(model, leaves, levels, overall)
+    return LeafQuantiles(model, leaves, scales, overall)
 
 
 # Attributions of a linear predictor are exact: coefficient times centred feature.
