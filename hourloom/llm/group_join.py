@@ -229,19 +229,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ahead = written(pairs.join(leaders, "_own").select("_set", "_label", "_chunk"), "ahead")
     found = written(_opened(ahead, members, texts, n, per_100, tables), "links-ahead")
     joined = components(found)
-    # What is left: pairs whose two chunks are not yet one component. Second bound, each set against the union.
+    # What is left: pairs of chunks that are not yet one component. Of two components in them the one
+    # with fewer sets asks; second bound, each asking set against the other chunk's union.
     named = written(members.join(joined, members["_label"] == joined["node"], "left")
                     .select("_set", "_label", "_chunk", F.coalesce("component", "_label").alias("_component")), "named")
-    spread = named.groupBy("_chunk").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most"))
-    other = spread.select(F.col("_chunk").alias("_own"), F.col("_least").alias("_l"), F.col("_most").alias("_m"))
-    open_ = written(pairs.join(spread, "_chunk").join(other, "_own")
-                    .where("_least <> _most OR _l <> _m OR _least <> _l").select("_own", "_chunk", "_least", "_most"), "open-pairs")
-    late = (matrix.select("_token", "_set", F.col("_size").alias("_from"), F.col("_size").alias("_to"), F.col("_chunk").alias("_own"))
-            .join(open_, "_own").join(unions, ["_token", "_chunk"]).where(fits)
-            .groupBy("_set", "_chunk").agg(F.count("*").alias("_shared"), F.first("_from").alias("_from"), F.first("_least").alias("_least"), F.first("_most").alias("_most"))
-            .where(F.col("_shared") >= share)
-            .join(named.select("_set", "_label", "_component"), "_set").where("_component <> _least OR _component <> _most")
-            .join(ahead.select("_set", "_chunk"), ["_set", "_chunk"], "left_anti").select("_set", "_label", "_chunk"))
+    sizes = written(named.groupBy("_chunk", "_component").agg(F.count("*").alias("_n")), "component-sizes")
+    one = sizes.select(F.col("_chunk").alias("_own"), F.col("_component").alias("_a"), F.col("_n").alias("_na"))
+    two = sizes.select("_chunk", F.col("_component").alias("_b"), F.col("_n").alias("_nb"))
+    sides = pairs.join(one, "_own").join(two, "_chunk").where("_a <> _b")
+    turn = lambda x, y: F.when(F.col("_na") <= F.col("_nb"), F.col(x)).otherwise(F.col(y))
+    turns = sides.select(turn("_own", "_chunk").alias("_at"), turn("_a", "_b").alias("_component"), turn("_chunk", "_own").alias("_to_chunk")).distinct()
+    asks = named.join(turns, (named["_chunk"] == turns["_at"]) & (named["_component"] == turns["_component"])).select(
+        "_set", "_label", F.col("_to_chunk").alias("_chunk"))
+    late = (asks.join(ahead.select("_set", "_chunk"), ["_set", "_chunk"], "left_anti")
+            .join(matrix.select("_token", "_set", F.col("_size").alias("_from"), F.col("_size").alias("_to")), "_set")
+            .join(unions, ["_token", "_chunk"]).where(fits)
+            .groupBy("_set", "_chunk").agg(F.count("*").alias("_shared"), F.first("_from").alias("_from"), F.first("_label").alias("_label"))
+            .where(F.col("_shared") >= share).select("_set", "_label", "_chunk"))
     rest = written(late, "asking-late")
     if not rest.isEmpty():
         more = written(_opened(rest, members, texts, n, per_100, tables), "links-late")
