@@ -62,6 +62,18 @@ def _(spark, sf):
     return quality.null_report(joined, ["demand_gw", "temperature_f"])
 
 
+cte("placed", """
+SELECT nullif(event_type, 'click') AS k, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS t FROM events""")
+
+
+@query("dq_placeless", LONG, """
+SELECT k AS series_id, 'no_key' AS rule, count(*) FILTER (k IS NULL) AS violations FROM placed GROUP BY 1 UNION ALL
+SELECT k, 'no_time', count(*) FILTER (t IS NULL) FROM placed GROUP BY 1""", "placed")
+def _(spark, sf):
+    rows = S.events(spark, sf).select(F.expr("nullif(event_type, 'click')").alias("series_id"), F.expr("if(event_id % 7 = 0, null, ts)").alias("ts"))
+    return quality.placeless_report(rows)
+
+
 @query("dq_schema_rows", "missing_columns n_rows:i rows_ok", """
 SELECT 'absent' AS missing_columns, count(*) AS n_rows, TRUE AS rows_ok FROM features""", "features")
 def _(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import TRAIN_HOLIDAYS
 from ..operators import clean, joins
 from ..operators.buckets import time_bucket
-from ..plans.pipeline import clean_demand
+from ..plans.pipeline import clean_demand, weather_at
 from . import series as S
 from .core import cte, query
 
@@ -159,3 +159,14 @@ def _(spark, sf):
     return old.withColumn("origin", F.lit("history")).unionByName(
         joins.new_rows_only(old, new).where("ts >= timestamp'2024-01-20'").withColumn("origin", F.lit("produced"))
     )
+
+
+@query("join_weather_policy", "series_id ts:t demand_gw:f temperature_f:f", f"""
+SELECT f.series_id, f.ts, f.demand_gw, coalesce(a.temperature_f, c.temperature_f, {S.synthetic_sql("f.ts", False)}) AS temperature_f
+FROM filled f
+LEFT JOIN archive a ON a.ts = f.ts AND a.ts <= TIMESTAMP '2024-01-20' - INTERVAL 6 DAY
+LEFT JOIN forecast c ON c.ts = f.ts AND c.ts >= TIMESTAMP '2024-01-20' - INTERVAL 2 DAY""", "filled archive forecast")
+def _(spark, sf):
+    """Temperatures known on one day: late archive, overlapping forecast, proxy in between."""
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return weather_at(S.filled(spark, sf), S.temperature(spark, sf, "view"), S.temperature(spark, sf, "click"), now)

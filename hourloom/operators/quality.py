@@ -33,6 +33,14 @@ def null_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _long(df, {c: F.count_if(F.col(c).isNull()) for c in columns})
 
 
+def placeless_report(df: DataFrame, order: str = "ts") -> DataFrame:
+    """Rows that positional operators leave out: without key, or without time.
+
+    One row per series; rows without a key are counted under a null series.
+    """
+    return _long(df, {"no_key": F.count_if(F.col(KEY).isNull()), "no_time": F.count_if(F.col(order).isNull())})
+
+
 def spacing_report(df: DataFrame) -> DataFrame:
     """Rows whose distance to the previous row is not exactly one hour."""
     rows = with_neighbours(df.select(KEY, "ts"), [], side="prev")
