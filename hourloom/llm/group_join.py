@@ -5,8 +5,8 @@ their smallest hashed n-gram, groups into chunks of bounded size. The matrix hol
 token union has which token; only tokens that the prefix bound makes necessary are stored: of
 two sets that link, both hold at least ``SHARE`` common ones among their first tokens in one
 global order. Chunks are bounded against each other, then query sets against a chunk, by the
-tokens shared with the chunk's union and by the chunk's sizes; only chunks that pass are opened,
-where a query's overlap with each member is counted exactly.
+tokens shared with the chunk's union and by the chunk's sizes; only where both pass is a query's
+overlap with each member counted, exactly.
 
 Only links matter, so a chunk first finds its own components, one set of each goes ahead to the
 qualifying chunks, and the rest are bounded and follow only where two chunks are not yet one
@@ -230,7 +230,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = written(_opened(ahead, members, texts, n, per_100, tables), "links-ahead")
     joined = components(found)
     # What is left: pairs of chunks that are not yet one component. Of two components in them the one
-    # with fewer sets asks; second bound, each asking set against the other chunk's union.
+    # with fewer sets asks; the second bound, each query against the chunk's union, is taken on opening.
     named = written(members.join(joined, members["_label"] == joined["node"], "left")
                     .select("_set", "_label", "_chunk", F.coalesce("component", "_label").alias("_component")), "named")
     sizes = written(named.groupBy("_chunk", "_component").agg(F.count("*").alias("_n")), "component-sizes")
@@ -241,11 +241,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     turns = sides.select(turn("_own", "_chunk").alias("_at"), turn("_a", "_b").alias("_component"), turn("_chunk", "_own").alias("_to_chunk")).distinct()
     asks = named.join(turns, (named["_chunk"] == turns["_at"]) & (named["_component"] == turns["_component"])).select(
         "_set", "_label", F.col("_to_chunk").alias("_chunk"))
-    late = (asks.join(ahead.select("_set", "_chunk"), ["_set", "_chunk"], "left_anti")
-            .join(matrix.select("_token", "_set", F.col("_size").alias("_from"), F.col("_size").alias("_to")), "_set")
-            .join(unions, ["_token", "_chunk"]).where(fits)
-            .groupBy("_set", "_chunk").agg(F.count("*").alias("_shared"), F.first("_from").alias("_from"), F.first("_label").alias("_label"))
-            .where(F.col("_shared") >= share).select("_set", "_label", "_chunk"))
+    late = asks.join(ahead.select("_set", "_chunk"), ["_set", "_chunk"], "left_anti")
     rest = written(late, "asking-late")
     if not rest.isEmpty():
         more = written(_opened(rest, members, texts, n, per_100, tables), "links-late")
