@@ -1,14 +1,17 @@
 """Language-model scoring by prediction by partial matching.
 
-A trie of byte contexts up to order 3 is counted over the training documents. A byte is coded
-in its longest known context; an unseen one escapes to the next shorter context (escape method
-C: distinct successors over occurrences plus distinct), where the successors already refused
+Byte contexts up to order 3 are counted over the training documents. A byte is coded in its
+longest known context; an unseen one escapes to the next shorter context (escape method C:
+distinct successors over occurrences plus distinct), where the successors already refused
 are excluded from the counts. The code lengths of all bytes and of one end mark add up to the
 document's log probability.
 
-Beside it stands the add-one unigram score over words. Word counts never gather in one place:
-documents are dealt to blocks of bounded size, a block sends one row per distinct word, and gets
-the word's total back, so a word in every document costs one row per block.
+Beside it stands the add-one unigram score over words. Neither words nor byte contexts gather
+in one place: documents are dealt to blocks of bounded size, a block sends one row per distinct
+word and one per distinct four-byte string, and gets the word's total and the string's code
+length back, so a word in every document costs one row per block. No count is dropped: code
+lengths are taken where all strings of the same two middle bytes meet (at most 65,536 of them),
+which hold orders 3 and 2 whole; orders 1 and 0 (at most 65,536 pairs) go to every task.
 
 Defined results: a null text is the empty text, which still has its end token and end mark.
 Every input row gives one output row, repeated rows and null ids included. Without training
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WordHashes, as_bytes, blocks_of, row_key, slices
+from .text import WordHashes, as_bytes, blocks_of, row_key, slices, written
 
 ORDER = 3
 PAD = b"\x00" * ORDER
@@ -34,8 +37,10 @@ END = b"\x00"
 END_WORD = np.uint64(0x0E0D0E0D0E0D0E0D)  # stands for the end token
 # Rows of a block: its texts and words fit easily in one task.
 BLOCK_ROWS = 6000
-# Four-byte strings the trie may keep: the most frequent, above a power of two. This bounds
-# what is broadcast (12 bytes each).
+# Groups that the two middle bytes of strings are dealt to: about 16 of 65,536 each.
+MIDDLE_GROUPS = 1 << 12
+# Four-byte strings that fit_trie keeps by default, the most frequent, above a power of two: a
+# model small enough for one process. Documents are scored without it, by all counts.
 MAX_NODES = 1 << 20
 
 
@@ -52,6 +57,22 @@ def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes[coded], sizes
 
 
+def level_of(k: int, codes: np.ndarray, counts: np.ndarray, below: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
+    """Order k from counted strings: pairs (context and successor) with counts, contexts with totals,
+    distinct successors, and the mass that exclusion takes at the next shorter order, ``below``."""
+    short = codes & np.uint32((1 << 8 * (k + 1)) - 1)
+    pairs, inverse = np.unique(short, return_inverse=True)
+    n = np.bincount(inverse, counts, len(pairs)) if len(pairs) else np.zeros(0)
+    contexts, start = np.unique(pairs >> np.uint32(8), return_index=True)
+    total = np.add.reduceat(n, start) if len(start) else np.zeros(0)
+    distinct = np.diff(np.append(start, len(pairs))).astype(float)
+    level = {"pairs": pairs, "n": n, "contexts": contexts, "total": total, "distinct": distinct}
+    if k and len(pairs):
+        shorter = pairs & np.uint32((1 << 8 * k) - 1)
+        level["mass"] = np.add.reduceat(below["n"][np.searchsorted(below["pairs"], shorter)], start)
+    return level
+
+
 @dataclass(frozen=True)
 class PpmTrie:
     """Counts of four-byte strings, with what each shorter context needs derived from them."""
@@ -61,22 +82,9 @@ class PpmTrie:
 
     @cached_property
     def levels(self) -> list[dict[str, np.ndarray]]:
-        """Per order k: pairs (context and successor) with counts, contexts with totals, distinct
-        successors, and the mass and number that exclusion takes at the next shorter order."""
         out = []
         for k in range(ORDER + 1):
-            short = self.codes & np.uint32((1 << 8 * (k + 1)) - 1)
-            pairs, inverse = np.unique(short, return_inverse=True)
-            n = np.bincount(inverse, self.counts, len(pairs)) if len(pairs) else np.zeros(0)
-            contexts, start = np.unique(pairs >> np.uint32(8), return_index=True)
-            total = np.add.reduceat(n, start) if len(start) else np.zeros(0)
-            distinct = np.diff(np.append(start, len(pairs))).astype(float)
-            level = {"pairs": pairs, "n": n, "contexts": contexts, "total": total, "distinct": distinct}
-            if k and len(pairs):
-                below = out[k - 1]
-                shorter = pairs & np.uint32((1 << 8 * k) - 1)
-                level["mass"] = np.add.reduceat(below["n"][np.searchsorted(below["pairs"], shorter)], start)
-            out.append(level)
+            out.append(level_of(k, self.codes, self.counts, out[-1] if out else None))
         return out
 
 
@@ -116,7 +124,7 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fit_trie(training: DataFrame, text_col: str = "text", *, max_nodes: int = MAX_NODES) -> PpmTrie:
-    """Count the trie over all rows of ``training``; tasks send distinct strings with counts."""
+    """Count a trie of bounded size over all rows of ``training``; tasks send distinct strings with counts."""
 
     def run(batches):
         codes, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -139,14 +147,12 @@ def fit_trie(training: DataFrame, text_col: str = "text", *, max_nodes: int = MA
 
 
 def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", *,
-                    block_rows: int = BLOCK_ROWS, max_nodes: int = MAX_NODES) -> DataFrame:
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: id, in_training, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` marks the rows to learn from. ``score`` is the log10 probability under the byte
     model, ``base_score`` under the add-one word model.
     """
-    trie = fit_trie(df.where(training), text_col, max_nodes=max_nodes)
-    shipped = df.sparkSession.sparkContext.broadcast(trie)  # at most max_nodes entries
     blocks = blocks_of(df, rows=block_rows)
     dealt = (df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(training, F.lit(False)).alias("_train"),
                        F.pmod(row_key(id_col, text_col), F.lit(blocks)).cast("int").alias("_block"))
@@ -164,6 +170,34 @@ def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", tex
             seen, counts = _summed(np.concatenate([seen, *found]), np.concatenate([counts, *weight]))
         return pa.table({"_block": pa.array(np.full(len(seen), key[0].as_py(), np.int32)), "_word": pa.array(seen.view(np.int64)), "_n": pa.array(counts)})
 
+    def strings(key: tuple, docs: pa.Table) -> pa.Table:
+        seen, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for batch in slices(docs.to_batches()):
+            trains = np.array(batch.column(2).to_pylist(), bool)
+            codes, lengths = codes_of([t or b"" for t in as_bytes(batch.column(1))])
+            inverse, unique = pd.factorize(codes)
+            counted = np.bincount(inverse, np.repeat(trains, lengths), len(unique))
+            seen, counts = _summed(np.r_[seen, unique], np.r_[counts, counted])
+        return pa.table({"_block": pa.array(np.full(len(seen), key[0].as_py(), np.int32)), "_code": pa.array(seen.astype(np.int64)), "_n": pa.array(counts)})
+
+    used = written(dealt.groupBy("_block").applyInArrow(strings, "_block int, _code bigint, _n bigint"), "ppm-strings")
+    pairs = used.groupBy(F.expr("_code & 65535").alias("_pair")).agg(F.sum("_n").alias("_n")).where("_n > 0").toArrow()
+    low = [pairs.column(0).to_numpy().astype(np.uint32), pairs.column(1).to_numpy()]
+    zero = level_of(0, *low, None)
+    shipped = df.sparkSession.sparkContext.broadcast([zero, level_of(1, *low, zero)])  # at most 65,536 pairs
+
+    def cost(found: pa.Table) -> pa.Table:
+        codes, n = found.column("_code").to_numpy().astype(np.uint32), found.column("_n").to_numpy()
+        known = n > 0
+        levels = list(shipped.value)
+        for k in (ORDER - 1, ORDER):
+            levels.append(level_of(k, codes[known], n[known], levels[-1]))
+        return pa.table({"_code": found.column("_code"), "_bits": pa.array(code_lengths(levels, codes))})
+
+    middle = F.pmod(F.xxhash64(F.expr("(_code >> 8) & 65535")), F.lit(MIDDLE_GROUPS)).cast("int")
+    priced = (used.groupBy("_code").agg(F.sum("_n").alias("_n")).groupBy(middle.alias("_middle"))
+              .applyInArrow(cost, "_code bigint, _bits double"))
+
     sent = dealt.groupBy("_block").applyInArrow(words, "_block int, _word bigint, _n bigint")
     # A word has at most one row per block.
     same = "PARTITION BY _word"
@@ -172,11 +206,14 @@ def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", tex
         F.coalesce(F.sum("_total"), F.lit(0)).alias("all"),
         F.coalesce(F.sum((F.col("_total") > 0).cast("bigint")), F.lit(0)).alias("distinct")).alias("_sums"))
 
+    def sorted_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
     def score(key: tuple, docs: pa.Table, counts: pa.Table) -> pa.Table:
-        known = counts.column("_word").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, total = known[order], counts.column("_total").to_numpy()[order]
-        levels = shipped.value.levels
+        keys, of_words = counts.column("_key").to_numpy(), counts.column("_bits").is_null().to_numpy()
+        known, total = sorted_by(keys[of_words].view(np.uint64), counts.column("_total").to_numpy()[of_words].astype(np.int64))
+        strings_, price = sorted_by(keys[~of_words].astype(np.uint32), counts.column("_bits").to_numpy()[~of_words])
         hashes, parts = WordHashes(), []
         for batch in slices(docs.to_batches()):
             texts = [(t or b"").lower() for t in as_bytes(batch.column(1))]
@@ -186,14 +223,16 @@ def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", tex
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             codes, lengths = codes_of(texts)
             inverse, unique = pd.factorize(codes)
-            bits = np.add.reduceat(code_lengths(levels, unique)[inverse], np.r_[0, np.cumsum(lengths)[:-1]])
+            bits = np.add.reduceat(price[np.searchsorted(strings_, unique)][inverse], np.r_[0, np.cumsum(lengths)[:-1]])
             parts.append(pa.table({
                 "_id": batch.column(0), "in_training": batch.column(2), "n_tokens": pa.array(sizes),
                 "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
                 "_logs": pa.array(np.add.reduceat(np.log10(c + 1.0), starts)), "score": pa.array(-bits * np.log10(2.0))}))
         return pa.concat_tables(parts)
 
-    scored = dealt.groupBy("_block").cogroup(totals.select("_block", "_word", "_total").groupBy("_block")).applyInArrow(
+    back = totals.select("_block", F.col("_word").alias("_key"), "_total", F.lit(None).cast("double").alias("_bits")).unionByName(
+        used.join(priced, "_code").select("_block", F.col("_code").alias("_key"), F.lit(0).cast("bigint").alias("_total"), "_bits"))
+    scored = dealt.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(
         score, f"_id {id_type}, in_training boolean, n_tokens bigint, n_known bigint, _logs double, score double")
     corpus = scored.withColumn("_sums", sums.scalar())
     each = F.log10(F.col("_sums.all") + F.col("_sums.distinct") + F.lit(1.0))

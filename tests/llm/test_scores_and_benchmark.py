@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hourloom.llm import decontaminate, ppm_score
@@ -68,6 +69,19 @@ def test_trie_bound_keeps_the_frequent(spark):
     assert 0 < len(trie.codes) <= 50 and trie.counts.min() > 1
 
 
+def test_scores_use_every_count(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(map(chr, rng.choices(range(0x21, 0x7F), k=20_000)))) for i in range(70)] + [(90, "\u0416\u0414 \u65e5\u672c"), (93, "zz \u0416\u0414 \u672c")]
+    learns = [i < 60 or i == 90 for i, _ in rows]
+    codes, _ = ppm_score.codes_of([t.encode() for (_, t), learn in zip(rows, learns) if learn])
+    trie = ppm_score.PpmTrie(*ppm_score._summed(codes, np.ones(len(codes))))
+    assert len(trie.codes) > 1 << 20
+    got = keyed(ppm_score.score_documents(frame(spark, rows), F.col("doc_id").isin([i for (i, _), learn in zip(rows, learns) if learn]), block_rows=9))
+    for i, text in rows:
+        want = -ppm_score.code_lengths(trie.levels, ppm_score.codes_of([text.encode()])[0]).sum() * math.log10(2)
+        assert abs(got[i]["score"] - want) < 1e-9 * abs(want)
+
+
 def test_scores_without_rows_or_training(spark):
     assert ppm_score.score_documents(frame(spark, []), F.lit(True)).count() == 0
     got = ppm_score.score_documents(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
