@@ -41,8 +41,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents in target shares of their sources, in shuffled order."""
-    return poisson_mix.mix_sources(docs, MIX_WEIGHTS)
+    """Poisson copies of documents in target shares of their sources, in shuffled order."""
+    return poisson_mix.mix_sources(docs, MIX_WEIGHTS, even=False)
 
 
 STAGES = [

@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Poisson replication.
 
 The mean repetition of a source is its target share of the output over what it holds; every
-document draws its number of copies by inverting the Poisson distribution of that mean at a
-uniform value hashed from seed and id, copies are exploded and shuffled globally.
+document draws its number of copies from the Poisson distribution of that mean, by inversion at
+uniform values hashed from seed and id; copies are exploded and shuffled globally. With ``even``
+(the default, which the SQL twin states) only the part of a mean beyond its whole number is
+drawn and the whole number is added to every document: no Poisson draw for means from 1.
 
 All built-in expressions. The hash of the id decides, so a retried task repeats its draw and
 repeated rows draw alike.
@@ -22,26 +24,36 @@ from pyspark.sql import functions as F
 ADDED = ("copy_no", "mix_key")
 
 
-def uniform(seed: str, id_col: str) -> Column:
-    """In [0, 1): the first 48 bits of md5(seed:id)."""
+def uniform(seed: str, id_col: str, draw: Column | None = None) -> Column:
+    """In [0, 1): the first 48 bits of md5(seed:id), or of md5(seed:id:draw:number) for further draws."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    if draw is not None:
+        text = F.when(draw == 1, text).otherwise(F.concat(text, F.lit(":draw:"), draw.cast("string")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def poisson_count(mean: Column, u: Column) -> Column:
-    """Smallest k with cdf(k) > u. Whole parts of the mean beyond 1 keep a floor of copies, so that
-    the draw has mean ``mean`` and stays a sum of a constant and a Poisson value of mean below 1:
-    a strong up-weighting repeats every document evenly instead of losing some by chance."""
-    floor = F.floor(mean)
-    rest = mean - floor
-    # 20 terms leave less than 2^-60 for a mean below 1, under the resolution of u.
-    steps = F.aggregate(
+def _inverted(mean: Column, u: Column) -> Column:
+    """Smallest k with cdf(k) > u, for a mean up to 1."""
+    # 20 terms leave less than 2^-60 for a mean up to 1, under the resolution of u.
+    return F.aggregate(
         F.sequence(F.lit(1), F.lit(20)),
-        F.struct(F.exp(-rest).alias("p"), F.exp(-rest).alias("cdf"), F.lit(0).alias("n")),
-        lambda s, k: F.struct((s.p * rest / k).alias("p"), (s.cdf + s.p * rest / k).alias("cdf"),
+        F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n")),
+        lambda s, k: F.struct((s.p * mean / k).alias("p"), (s.cdf + s.p * mean / k).alias("cdf"),
                               (s.n + F.when(s.cdf <= u, 1).otherwise(0)).alias("n")),
         lambda s: s.n)
-    return (floor + steps).cast("int")
+
+
+def poisson_count(mean: Column, u: Column) -> Column:
+    """The whole part of the mean plus a Poisson value of the rest, inverted at u: the draw has mean
+    ``mean``, and a strong up-weighting repeats every document evenly instead of losing some by chance."""
+    floor = F.floor(mean)
+    return (floor + _inverted(mean - floor, u)).cast("int")
+
+
+def poisson_draw(mean: Column, seed: str, id_col: str) -> Column:
+    """A Poisson value of any mean: the sum of independent hashed draws of equal means up to 1."""
+    draws = F.greatest(F.lit(1), F.ceil(mean)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda n, k: n + _inverted(mean / draws, uniform(seed, id_col, k)))
 
 
 def source_means(df: DataFrame, weights: Mapping[str | None, float], total: float | None, source_col: str) -> dict[str | None, float]:
@@ -58,11 +70,11 @@ def source_means(df: DataFrame, weights: Mapping[str | None, float], total: floa
 
 
 def mix_sources(df: DataFrame, weights: Mapping[str | None, float], *, total: float | None = None, seed: str = "mix",
-                id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+                id_col: str = "doc_id", source_col: str = "source", even: bool = True) -> DataFrame:
     """``df``'s columns plus copy_no (from 1) and mix_key (the global order), in shuffled order.
 
     ``weights`` are target shares of the output rows, ``total`` their expected number (default:
-    as many as the weighted sources hold).
+    as many as the weighted sources hold). ``even`` False draws Poisson copies at every mean.
     """
     if clash := set(ADDED) & set(df.columns):
         raise ValueError(f"rename {sorted(clash)} first")
@@ -70,11 +82,11 @@ def mix_sources(df: DataFrame, weights: Mapping[str | None, float], *, total: fl
     mean = F.lit(0.0)
     for source, value in means.items():
         mean = F.when(F.col(source_col).eqNullSafe(F.lit(source)), F.lit(value)).otherwise(mean)
-    return shuffled(_exploded(df, mean, seed, id_col))
+    copies = poisson_count(mean, uniform(seed, id_col)) if even else poisson_draw(mean, seed, id_col)
+    return shuffled(_exploded(df, copies, seed, id_col))
 
 
-def _exploded(df: DataFrame, mean: Column, seed: str, id_col: str) -> DataFrame:
-    copies = poisson_count(mean, uniform(seed, id_col))
+def _exploded(df: DataFrame, copies: Column, seed: str, id_col: str) -> DataFrame:
     keyed = df.where(copies > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies)))
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col("copy_no").cast("string"))
     return keyed.withColumn("mix_key", F.substring(F.md5(text.cast("binary")), 1, 16))

@@ -1,12 +1,14 @@
 import base64
 import hashlib
 import io
+import math
 import struct
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hourloom.llm import poisson_mix, warc_zip
 from hourloom.llm.text import written
 from hourloom.session import scratch
@@ -23,6 +25,22 @@ def test_poisson_counts_follow_the_distribution(spark):
         p *= mean / (k + 1)
 
 
+def test_poisson_draws_above_one_follow_the_distribution(spark):
+    for mean in (1.0, 1.48, 2.96, 7.5):
+        got = {r["k"]: r["count"] for r in spark.range(20_000).select(poisson_mix.poisson_draw(F.lit(mean), "s", "id").alias("k")).groupBy("k").count().collect()}
+        want, p = 20_000, math.exp(-mean)
+        for k in range(12):
+            assert abs(got.get(k, 0) - want * p) < 5 * (want * p) ** 0.5 + 5
+            p *= mean / (k + 1)
+
+
+def test_pipeline_mixing_leaves_documents_out_by_chance(spark):
+    docs = frame(spark, [(i, "t", f"src{i % 4}") for i in range(4000)])
+    got = {r["source"]: r["n"] for r in corpus_pipeline.mix(spark, docs, "").groupBy("source").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    for source, mean in (("src0", 16 / 11), ("src1", 12 / 11)):
+        assert abs(got[source] - 1000 * (1 - math.exp(-mean))) < 75
+
+
 def test_mix_reaches_target_shares(spark):
     docs = frame(spark, [(i, "t", "a" if i % 3 else "b") for i in range(6000)])
     mixed = poisson_mix.mix_sources(docs, {"a": 1.0, "b": 1.0}, total=8000)
