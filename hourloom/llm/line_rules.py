@@ -39,6 +39,7 @@ BOILERPLATE = (
 
 _BOILERPLATE = re.compile(b"|".join(map(re.escape, BOILERPLATE)))
 _SEPARATORS = frozenset((b"|", b">", b">>", b"\xc2\xbb", b"\xc2\xb7", b"\xe2\x80\xba"))
+_HAS_SEPARATOR = re.compile(b"|".join(map(re.escape, sorted(_SEPARATORS))))
 _HAS_SYMBOL = re.compile(b"[" + re.escape(SYMBOLS) + b"]")
 _SHOUTED = re.compile(rb"[^a-z!]*!!+[.,]?\Z")
 
@@ -49,10 +50,11 @@ def failed_rule(line: bytes) -> str | None:
     n = len(words)
     if not n:
         return None
-    if _HAS_SYMBOL.search(line):
+    if _HAS_SEPARATOR.search(line):
         separators = sum(w in _SEPARATORS for w in words)
         if separators >= 2 and 100 * separators >= SEPARATOR_WORDS_PER_100 * n:
             return "navigation"
+    if _HAS_SYMBOL.search(line):
         if 100 * sum(_HAS_SYMBOL.search(w) is not None for w in words) >= SYMBOL_WORDS_PER_100 * n:
             return "symbols"
     if line.count(b"!!") and 100 * sum(_SHOUTED.match(w) is not None for w in words) >= SHOUTED_WORDS_PER_100 * n:

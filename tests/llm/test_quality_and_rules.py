@@ -113,6 +113,12 @@ def test_line_rules_remove_lines_then_documents(spark):
     assert line_rules.failed_rule(b"It cost 5 $ and 3 % of it, said R&D.") is None
 
 
+@pytest.mark.parametrize("separator", ["|", ">", ">>", "\u00bb", "\u00b7", "\u203a"])
+def test_every_separator_makes_navigation(separator):
+    assert line_rules.failed_rule(f" {separator} ".join(("Home", "Products", "Shoes")).encode()) == "navigation"
+    assert line_rules.failed_rule(f"Home {separator} Shoes".encode()) != "navigation"
+
+
 @pytest.fixture(scope="module")
 def licences(spark):
     return license_scan.fit_license_model(frame(spark, [(i, prose(i, 40)) for i in range(60)]))
