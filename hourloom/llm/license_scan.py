@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,17 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
 }
+# Short identifiers of the families.
+SPDX = {
+    "apache-2.0": ("Apache-2.0",), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "cc-by-nc": ("CC-BY-NC-4.0",), "cc-by": ("CC-BY-4.0",),
+    "gpl": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"), "mit": ("MIT",), "mpl-2.0": ("MPL-2.0",),
+}
+TEMPLATES = {family: (*texts, *(f"SPDX-License-Identifier: {name}" for name in SPDX[family])) for family, texts in TEMPLATES.items()}
 UNKNOWN = "unknown"
 
 BUCKETS = 1 << 14
+# Words that mention licensing, alone or inside a compound.
+_CUE = re.compile(rb"licen[cs]|copyright|redistribut|^permission|^warrant|^[al]?gpl")
 _WORD = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -80,7 +89,6 @@ class LicenseModel:
     accept: float
     confirm: float
     templates: dict[str, list[tuple[frozenset, int]]]
-    cues: frozenset
 
     def probabilities(self, words: list[bytes]) -> np.ndarray:
         at = _buckets(words)
@@ -88,20 +96,70 @@ class LicenseModel:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def find(self, paragraph: bytes) -> tuple[str, float, float] | None:
-        """(family or unknown, probability, template overlap), or None if nothing speaks of a licence."""
-        words = normal_words(paragraph)
-        if not self.cues.intersection(words):
+    @cached_property
+    def _known(self) -> frozenset:
+        return frozenset().union(*(g for ts in self.templates.values() for g, _ in ts))
+
+    @cached_property
+    def _longest(self) -> int:
+        return max(size for ts in self.templates.values() for _, size in ts)
+
+    def overlap(self, family: str, words: list[bytes]) -> float:
+        grams = set(zip(words, words[1:]))
+        return max((len(g & grams) / len(g) for g, _ in self.templates.get(family, [])), default=0.0)
+
+    def find(self, words: list[bytes]) -> tuple[str, float, float] | None:
+        """(family or unknown, probability, template overlap), or None if nothing speaks of a licence:
+        neither the model proposes a family nor is licensing mentioned."""
+        if not words:
             return None
         p = self.probabilities(words)
         k = int(p.argmax())
         family = self.families[k]
-        grams = set(zip(words, words[1:]))
-        overlap = max((len(g & grams) / len(g) for g, _ in self.templates.get(family, [])), default=0.0)
+        overlap = self.overlap(family, words)
         if family == UNKNOWN or p[k] < self.accept or overlap < self.confirm:
+            if (family == UNKNOWN or p[k] < self.accept) and not any(map(_CUE.search, words)):
+                return None
             family = UNKNOWN
         return family, float(p[k]), overlap
 
+    def findings(self, text: bytes) -> tuple[int, list[tuple[int, str, float, float]]]:
+        """Number of lines with a word, and the findings with the number of the line each starts in."""
+        count, hits, run = 0, [], []
+        for line in [*text.split(b"\n"), b""]:
+            if line and not line.isspace():
+                run.append(normal_words(line))
+            elif run:
+                hits += [(count + i, *hit) for i, hit in self._in_run(run)]
+                count, run = count + len(run), []
+        return count, hits
+
+    def _in_run(self, lines: list[list[bytes]]):
+        """Findings of consecutive lines: of each line, or of the group of lines from it that confirms a family."""
+        alone = [self.find(words) for words in lines]
+        i = 0
+        while i < len(lines):
+            hit, end = alone[i], i + 1
+            if hit is None or hit[0] == UNKNOWN:
+                group, rest = lines[i][-self._longest:], []
+                for j in range(i + 1, len(lines)):
+                    # No group runs over a line without words or one that is identified alone.
+                    if not lines[j] or not group or alone[j] and alone[j][0] != UNKNOWN:
+                        break
+                    group, rest = group + lines[j][:self._longest], rest + lines[j][:self._longest]
+                    # Without a template's words across its first line break, no group starts here.
+                    if j == i + 1 and self._known.isdisjoint(zip(group, group[1:])):
+                        break
+                    best = max(self.templates, key=lambda f: self.overlap(f, group))
+                    found = self.find(group) if self.overlap(best, group) >= self.confirm else None
+                    if found and found[0] != UNKNOWN and found[2] > self.overlap(found[0], rest) and (end == i + 1 or found[2] > hit[2]):
+                        hit, end = found, j + 1
+                    elif end > i + 1 or len(group) > 3 * self._longest:
+                        break
+            if hit:
+                yield i, hit
+            i = end
+
 
 def fit_license_model(background: DataFrame, text_col: str = "text", *, sample: int = 2000, seed: int = 7,
                       variants: int = 60, accept: float = 0.6, confirm: float = 0.6) -> LicenseModel:
@@ -160,15 +218,16 @@ def fit_license_model(background: DataFrame, text_col: str = "text", *, sample:
     for family, texts in TEMPLATES.items():
         split = [normal_words(t.encode()) for t in texts]
         templates[family] = [(frozenset(zip(w, w[1:])), len(w)) for w in split]
-    cues = frozenset((b"licensed", b"license", b"licence", b"licenses", b"copyright", b"redistribution", b"permission", b"warranty"))
-    return LicenseModel(families, weights.astype(np.float32), bias, temperature, accept, confirm, templates, cues)
+    return LicenseModel(families, weights.astype(np.float32), bias, temperature, accept, confirm, templates)
 
 
 def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Map-only: id, n_paragraphs, families (distinct confirmed, sorted) and findings of every row.
 
-    Each paragraph (line with a word) that mentions licensing gives a finding with its number,
-    family or "unknown", probability and template overlap.
+    The model scores every line and, where lines without a blank one between them hold words of a
+    template, groups of them, so that wrapped texts are met whole. A confirmed family gives a finding
+    with the number of its first line (of those with a word), probability and template overlap;
+    "unknown" stands for a proposal that no template confirms and for lines that mention licensing.
     """
     rows = df.select(F.col(id_col), F.col(text_col).alias("_text"))
     id_type = rows.schema[0].dataType.simpleString()
@@ -178,9 +237,8 @@ def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", te
         for batch in slices(batches):
             counts, families, findings = [], [], []
             for text in as_bytes(batch.column(1)):
-                paragraphs = [p for p in (text or b"").split(b"\n") if p and not p.isspace()]
-                hits = [(i, *hit) for i, p in enumerate(paragraphs) if (hit := model.find(p))]
-                counts.append(len(paragraphs))
+                count, hits = model.findings(text or b"")
+                counts.append(count)
                 families.append(sorted({h[1] for h in hits} - {UNKNOWN}))
                 findings.append([dict(zip(("paragraph", "family", "probability", "overlap"), h)) for h in hits])
             yield pa.RecordBatch.from_arrays(

@@ -135,6 +135,17 @@ def test_license_families(spark, licences):
     assert got[5]["findings"] == []
 
 
+def test_license_wrapped_and_compound(spark, licences):
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted "
+           "provided that the following conditions\nare met:")
+    rows = [(1, prose(1, 30) + "\n\n" + bsd), (2, "# SPDX-License-Identifier: Apache-2.0\nimport os"), (3, "// SPDX-License-Identifier: MIT"),
+            (4, "The code is MIT-licensed"), (5, "see GPLv3"), (6, prose(3, 12) + "\n" + prose(4, 12))]
+    got = keyed(license_scan.scan_licenses(frame(spark, rows), licences))
+    assert got[1]["families"] == ["bsd"] and got[1]["n_paragraphs"] == 4 and [f["paragraph"] for f in got[1]["findings"]] == [1]
+    assert got[2]["families"] == ["apache-2.0"] and got[3]["families"] == ["mit"]
+    assert len(got[4]["findings"]) == len(got[5]["findings"]) == 1 and got[6]["findings"] == []
+
+
 def test_license_edges(spark, licences):
     rows = license_scan.scan_licenses(frame(spark, edges()), licences).collect()
     assert len(rows) == len(edges()) and all(r["n_paragraphs"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
