@@ -16,12 +16,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word n-grams, 0.8): the one of smallest id.
+    """One row of each group of near copies (5-word n-grams, 0.8): the one of smallest id, null ids
+    last, then of smallest row key, then (of rows equal in id and text) of smallest other columns.
 
     Documents without words link with nothing and stay."""
-    judged = group_join.jaccard_components(docs, n=5, per_100=80)
-    gone = judged.where(F.col("component_id") < F.col("doc_id")).select(F.col("row_key").alias("_gone"))
-    return docs.join(gone, row_key("doc_id", "text") == gone["_gone"], "left_anti")
+    judged = group_join.jaccard_components(docs, n=5, per_100=80).where("n_shingles > 0")
+    # Rows that are equal in id and text share their key: of those that stay, only repeated keys are listed.
+    listed = judged.groupBy("row_key", (F.col("row_key") == F.col("component_row")).alias("_first")).agg(F.count("*").alias("_n"))
+    verdict = written(listed.where("NOT _first OR _n > 1").select(F.col("row_key").alias("_key"), "_first"), "near-verdict")
+    key = row_key("doc_id", "text")
+    stays = docs.join(verdict, key == verdict["_key"], "left_anti")
+    repeated = docs.withColumn("_of", key).join(verdict.where("_first"), F.col("_of") == F.col("_key"), "left_semi")
+    one = repeated.groupBy("_of").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return stays.unionByName(one)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,7 +181,8 @@ def _opened(openings: DataFrame, members: DataFrame, texts: DataFrame, n: int, p
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, per_100: int = 80,
                        chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: id, row_key, n_shingles and component_id (the smallest id reachable by links).
+    """One row per input row: id, row_key, n_shingles, component_id (the smallest id reachable by links)
+    and component_row (row_key of the row with that id; of equal ids the smallest).
 
     Two rows link when 100 * intersection >= ``per_100`` * union of their distinct word ``n``-grams
     (words split at ASCII white space, A-Z lowered).
@@ -250,8 +251,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = inside.join(joined, inside["_label"] == joined["node"], "left").select("_set", F.coalesce("component", "_label").alias("_class"))
     placed = written(seen.select("_row", "_id", "_size", "_set").join(classes, "_set", "left")
                      .withColumn("_class", F.when(F.col("_size") > 0, F.coalesce("_class", "_set"))), "classes", keep=True)
-    least = written(placed.where("_size > 0").groupBy("_class").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "least-ids", keep=True)
+    least = written(placed.where("_size > 0").groupBy("_class").agg(F.min("_id").alias("_least"), F.min(F.struct(F.col("_id").isNull().alias("_no"), "_id", "_row"))["_row"].alias("_first_row"),
+                                                                             F.count("*").alias("_n")).where("_n > 1").drop("_n"), "least-ids", keep=True)
     tables.drop()
     return placed.join(least, "_class", "left").select(
         F.col("_id").alias(id_col), F.col("_row").alias("row_key"), F.col("_size").cast("bigint").alias("n_shingles"),
-        F.coalesce("_least", "_id").alias("component_id"))
+        F.coalesce("_least", "_id").alias("component_id"), F.coalesce("_first_row", "_row").alias("component_row"))

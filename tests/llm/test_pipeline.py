@@ -6,6 +6,7 @@ import corpus_pipeline as cp
 from hourloom.llm.queries import quality_model
 from hourloom.llm.text import written
 
+from .cases import frame, prose
 from .test_duplicates import brute_components, brute_repeats
 from .test_scores_and_benchmark import brute_contamination
 
@@ -57,6 +58,15 @@ def test_stages_match_brute_force(spark):
         (r["doc_id"], r["text"], r["copy_no"]) for r in mixed.collect())
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (prose(k, 80) for k in (1, 2, 3))
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (None, b + " end"), (7, c), (None, c), (8, "."), (9, None), (9, None)]
+    kept = dict(cp.STAGES)["near_duplicates"](spark, frame(spark, rows).select(*COLUMNS), SF)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == COLUMNS and got[1, a] == got[7, c] == 1 and got[9, None] == 2 and got[8, "."] == 1
+    assert got[None, b] + got[None, b + " end"] == 1 and sum(got.values()) == 6
+
+
 def test_stages_take_empty_input(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
     for _, stage in cp.STAGES[1:]:
