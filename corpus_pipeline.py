@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import compression_quality, decontaminate, group_join, poisson_mix, substring_dedup
-from hourloom.llm.queries import MIX_WEIGHTS, quality_model
+from hourloom.llm.queries import MIX_WEIGHTS, OTHER_WEIGHT, quality_model
 from hourloom.llm.text import row_key, table, written
 
 
@@ -49,7 +49,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Poisson copies of documents in target shares of their sources, in shuffled order."""
-    return poisson_mix.mix_sources(docs, MIX_WEIGHTS, even=False)
+    return poisson_mix.mix_sources(docs, MIX_WEIGHTS, even=False, other=OTHER_WEIGHT)
 
 
 STAGES = [

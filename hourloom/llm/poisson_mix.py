@@ -9,8 +9,8 @@ drawn and the whole number is added to every document: no Poisson draw for means
 All built-in expressions. The hash of the id decides, so a retried task repeats its draw and
 repeated rows draw alike.
 
-Defined results: sources without a weight (null included, unless weighted as None) get mean 0
-and so no copies; null ids draw as the text ''. Empty input gives empty output. Rows keep all
+Defined results: sources without a weight (null included, unless weighted as None) have the
+weight ``other``, and no copies if that is not given; null ids draw as the text ''. Empty input gives empty output. Rows keep all
 their columns; a clashing name among the added ones is an error before any work.
 """
 
@@ -56,34 +56,41 @@ def poisson_draw(mean: Column, seed: str, id_col: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda n, k: n + _inverted(mean / draws, uniform(seed, id_col, k)))
 
 
-def source_means(df: DataFrame, weights: Mapping[str | None, float], total: float | None, source_col: str) -> dict[str | None, float]:
-    """Mean copies per row of each weighted source; one aggregate, bounded by the given weights.
+# Sources whose means may be broadcast.
+BROADCAST_SOURCES = 10_000
+
+
+def source_means(df: DataFrame, weights: Mapping[str | None, float], total: float | None, source_col: str, other: float | None) -> DataFrame:
+    """(_mix_source, _mix_mean): mean copies per row of each source with a weight above 0.
 
     The same source may hold a third of all rows: only its count is gathered, combined map-side.
     """
-    have = {r[0]: r[1] for r in df.groupBy(source_col).count().where(
-        F.col(source_col).isin([k for k in weights if k is not None]) | F.col(source_col).isNull()).collect()}
-    share = sum(w for k, w in weights.items() if have.get(k))
-    rows = sum(have.get(k, 0) for k in weights)
-    wanted = float(rows if total is None else total)
-    return {k: wanted * w / share / have[k] for k, w in weights.items() if have.get(k) and w > 0}
+    weight = F.lit(None if other is None else float(other)).cast("double")
+    for source, value in weights.items():
+        weight = F.when(F.col(source_col).eqNullSafe(F.lit(source)), F.lit(float(value))).otherwise(weight)
+    have = df.groupBy(source_col).agg(F.count("*").alias("_mix_n")).withColumn("_mix_weight", weight).where("_mix_weight IS NOT NULL")
+    rows, share, sources = have.agg(F.sum("_mix_n"), F.sum("_mix_weight"), F.count("*")).first()
+    wanted = float((rows or 0) if total is None else total)
+    means = have.where("_mix_weight > 0").select(
+        F.col(source_col).alias("_mix_source"), (F.lit(wanted) * F.col("_mix_weight") / F.lit(share or 1.0) / F.col("_mix_n")).alias("_mix_mean"))
+    return F.broadcast(means) if sources <= BROADCAST_SOURCES else means
 
 
 def mix_sources(df: DataFrame, weights: Mapping[str | None, float], *, total: float | None = None, seed: str = "mix",
-                id_col: str = "doc_id", source_col: str = "source", even: bool = True) -> DataFrame:
+                id_col: str = "doc_id", source_col: str = "source", even: bool = True, other: float | None = None) -> DataFrame:
     """``df``'s columns plus copy_no (from 1) and mix_key (the global order), in shuffled order.
 
     ``weights`` are target shares of the output rows, ``total`` their expected number (default:
-    as many as the weighted sources hold). ``even`` False draws Poisson copies at every mean.
+    as many as the weighted sources hold). ``other`` is the weight of each source that ``weights``
+    does not name, null included. ``even`` False draws Poisson copies at every mean.
     """
     if clash := set(ADDED) & set(df.columns):
         raise ValueError(f"rename {sorted(clash)} first")
-    means = source_means(df, weights, total, source_col)
-    mean = F.lit(0.0)
-    for source, value in means.items():
-        mean = F.when(F.col(source_col).eqNullSafe(F.lit(source)), F.lit(value)).otherwise(mean)
+    means = source_means(df, weights, total, source_col, other)
+    weighted = df.join(means, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    mean = F.col("_mix_mean")
     copies = poisson_count(mean, uniform(seed, id_col)) if even else poisson_draw(mean, seed, id_col)
-    return shuffled(_exploded(df, copies, seed, id_col))
+    return shuffled(_exploded(weighted, copies, seed, id_col).select(*df.columns, *ADDED))
 
 
 def _exploded(df: DataFrame, copies: Column, seed: str, id_col: str) -> DataFrame:

@@ -17,6 +17,8 @@ ORACLES: dict[str, str] = {}
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Target shares of sources in the mixture: the first sources are raised, the others level.
 MIX_WEIGHTS = {f"src{i}": w for i, w in enumerate([4.0, 3.0, 2.0, 2.0] + [1.0] * 16)}
+# The weight of every source that is not named, null included; the SQL twin knows the named ones only.
+OTHER_WEIGHT = 1.0
 
 
 def query(name: str, sql: str | None = None):
@@ -62,7 +64,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_mix_sources", poisson_mix.mix_sql(MIX_WEIGHTS))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poisson_mix.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return poisson_mix.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, other=OTHER_WEIGHT)
 
 
 @query("op7_warc_zip", warc_zip.SQL)

@@ -51,6 +51,14 @@ def test_mix_reaches_target_shares(spark):
     assert sorted(r["mix_key"] for r in mixed.collect()) == sorted(r["mix_key"] for r in again.collect())
 
 
+def test_mixing_keeps_sources_that_are_not_named(spark):
+    docs = frame(spark, [(i, "t", (None, "news", "src0")[i % 3]) for i in range(3000)])
+    shares = {r["source"]: r["count"] for r in corpus_pipeline.mix(spark, docs, "").groupBy("source").count().collect()}
+    assert abs(shares[None] - 500) < 120 and abs(shares["news"] - 500) < 120 and abs(shares["src0"] - 2000) < 250
+    none = poisson_mix.mix_sources(docs, {"news": 0.0}, other=1.0)
+    assert none.columns == [*docs.columns, *poisson_mix.ADDED] and {r["source"] for r in none.select("source").collect()} == {None, "src0"}
+
+
 def test_mix_edges(spark):
     docs = frame(spark, [(*r, None if k % 2 else "src0") for k, r in enumerate(edges())])
     mixed = poisson_mix.mix_sources(docs, {"src0": 1.0, "absent": 3.0})
