@@ -10,7 +10,8 @@ set is joined by shuffle.
 Defined results: null and empty texts have no words and are clean. Items without words, null
 or empty, match nothing. Every document row gives one output row; rows that repeat in id and
 text get the same result, and rows that share only the id are judged apart. Repeated items
-count once per item_id. Only the named columns are read, so other names cannot clash.
+count once per item_id. Items with a null id are looked for and their hits count, but they are not
+in the list of ids or its size. Only the named columns are read, so other names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def words_of(text: Column) -> Column:
 
 def test_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """Distinct (item, words) windows with the anchor: the longest word, the earliest of those."""
-    words = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_item"), words_of(F.col(text_col)).alias("_all")).where("size(_all) > 0")
+    words = items.select(F.col(id_col).alias("_item"), words_of(F.col(text_col)).alias("_all")).where("size(_all) > 0")
     width = F.least(F.lit(window), F.size("_all"))
     cut = words.select("_item", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("_all") - width + 1), lambda i: F.slice("_all", i, width))).alias("_window")).distinct()

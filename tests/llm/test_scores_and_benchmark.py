@@ -140,6 +140,16 @@ def test_contamination_matches_brute_force_either_way(spark):
         assert rows == Counter(brute_contamination(docs, items))
 
 
+def test_items_with_a_null_id_contaminate(spark):
+    passage = prose(78, 40)
+    bench = spark.createDataFrame([(None, passage), (1, prose(79, 20))], "item_id bigint, text string")
+    docs = frame(spark, [(1, prose(5, 30) + " " + passage), (2, prose(6, 60))])
+    for most in (decontaminate.BROADCAST_ROWS, 0):
+        got = keyed(decontaminate.contamination(docs, bench, broadcast_rows=most))
+        assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (40, 0, True) and got[2]["n_hit"] == 0
+        assert got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_contaminated_documents_go(spark):
     docs, items = contaminated_docs()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
