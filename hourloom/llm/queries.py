@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import compression_quality, decontaminate, group_join, license_scan, line_rules, poisson_mix, ppm_score, substring_dedup, token_counts, warc_zip
+from . import compression_quality, decontaminate, group_join, license_scan, line_rules, poisson_mix, ppm_score, substring_dedup, token_alignment, token_counts, warc_zip
 from .text import held_out, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+ALIGNED = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 # Target shares of sources in the mixture: the first sources are raised, the others level.
 MIX_WEIGHTS = {f"src{i}": w for i, w in enumerate([4.0, 3.0, 2.0, 2.0] + [1.0] * 16)}
 # The weight of every source that is not named, null included; the SQL twin knows the named ones only.
@@ -94,3 +95,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_group_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, per_100=85).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), *token_alignment.read_models(*ALIGNED))[0]
