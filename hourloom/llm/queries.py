@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import compression_quality, decontaminate, group_join, license_scan, line_rules, poisson_mix, ppm_score, substring_dedup, token_alignment, token_counts, warc_zip
+from . import compression_quality, decontaminate, group_join, license_scan, line_rules, poisson_mix, ppm_score, spelling_variants, substring_dedup, token_alignment, token_counts, warc_zip
 from .text import held_out, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"), *token_alignment.read_models(*ALIGNED))[0]
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
