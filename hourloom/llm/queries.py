@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import compression_quality, decontaminate, group_join, license_scan, line_rules, poisson_mix, ppm_score, spelling_variants, substring_dedup, token_alignment, token_counts, warc_zip
+from . import compression_quality, credential_formats, decontaminate, group_join, license_scan, line_rules, poisson_mix, ppm_score, spelling_variants, substring_dedup, token_alignment, token_counts, warc_zip
 from .text import held_out, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_spelling_variants")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_credential_formats")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return credential_formats.scan_secrets(documents, credential_formats.fit_format_model(documents))
