@@ -28,6 +28,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,12 @@ class ByteBpe:
         self.bytes = [b""] * (max(self.slow.get_vocab().values()) + 1)
         for token, i in ranks.items():
             self.bytes[i] = token
+        self.lengths = [len(b) for b in self.bytes]
         self.fast = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def decode(self, ids: list[int]) -> bytes:
+        return self.fast.decode_bytes(ids)
+
     def encode(self, text: str) -> list[int]:
         if _NOT_PLAIN.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
@@ -87,49 +92,65 @@ class PieceModel:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
+        self.lengths = [len(b) for b in self.bytes]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text)
 
 
-@lru_cache(maxsize=1)
-def _encoders(bpe: str, pieces: bytes) -> tuple[ByteBpe, PieceModel]:
-    return ByteBpe(bpe), PieceModel(pieces)
+class TokenizerPair:
+    """Both encodings of texts."""
+
+    def __init__(self, bpe: str, pieces: bytes):
+        self.first, self.second = ByteBpe(bpe), PieceModel(pieces)
 
+    def encode(self, text: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        """(ids, ids, ends, ends), or None if either does not give the text back byte by byte."""
+        target = b" " + text.encode()
+        ids_a, ids_b = self.first.encode(" " + text), self.second.encode(text)
+        if self.first.decode(ids_a) != target or self.second.decode(ids_b) != target:
+            return None
+        size_a, size_b = self.first.lengths.__getitem__, self.second.lengths.__getitem__
+        return ids_a, ids_b, list(accumulate(map(size_a, ids_a))), list(accumulate(map(size_b, ids_b)))
 
-def ends_of(ids: list[int], token_bytes: list[bytes], target: bytes) -> list[int] | None:
-    """End offsets of the tokens, if their bytes joined are the text."""
-    parts = [token_bytes[i] for i in ids]
-    if b"".join(parts) != target:
-        return None
-    return np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))).tolist()
+
+@lru_cache(maxsize=1)
+def _encoders(bpe: str, pieces: bytes) -> TokenizerPair:
+    return TokenizerPair(bpe, pieces)
 
 
-def skip_runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """(one-to-one stretches (i, j, length), irregular groups (i, i_end, j, j_end), their links (i, j)).
+def skip_runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, bool]], list[int], list[int]]:
+    """Segments (first i, first j, whether a one-to-one stretch), each up to the next one, and the links
+    of the other segments, the irregular groups, as positions i and positions j.
 
     Both arrays are ascending and end at the same offset."""
-    runs, groups, links = [], [], []
+    segments, links_a, links_b = [], [], []
     i = j = 0
     n = len(ends_a)
     while i < n:
         a, b = ends_a[i], ends_b[j]
         if a == b:
-            k = step = 1
-            while (ahead := ends_a[i + k:i + k + step]) and ahead == ends_b[j + k:j + k + step]:
-                k += len(ahead)
+            segments.append((i, j, True))
+            i += 1
+            j += 1
+            step = 1
+            while (ahead := ends_a[i:i + step]) and ahead == ends_b[j:j + step]:
+                i += len(ahead)
+                j += len(ahead)
                 step *= 2
             while step > 1:
                 step //= 2
-                ahead = ends_a[i + k:i + k + step]
-                if len(ahead) == step and ahead == ends_b[j + k:j + k + step]:
-                    k += step
-            runs.append((i, j, k))
-            i += k
-            j += k
+                ahead = ends_a[i:i + step]
+                if len(ahead) == step and ahead == ends_b[j:j + step]:
+                    i += step
+                    j += step
         else:
-            first_a, first_b = i, j
-            links.append((i, j))
+            segments.append((i, j, False))
+            links_a.append(i)
+            links_b.append(j)
             while a != b:
                 if a < b:
                     i += 1
@@ -137,11 +158,11 @@ def skip_runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int
                 else:
                     j += 1
                     b = ends_b[j]
-                links.append((i, j))
+                links_a.append(i)
+                links_b.append(j)
             i += 1
             j += 1
-            groups.append((first_a, i, first_b, j))
-    return runs, groups, links
+    return segments, links_a, links_b
 
 
 class Alignment:
@@ -149,22 +170,49 @@ class Alignment:
 
     def __init__(self, ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]):
         self.ids_a, self.ids_b = ids_a, ids_b
-        self.runs, self.groups, self.links = skip_runs(ends_a, ends_b)
-        self.n_groups = sum(k for _, _, k in self.runs) + len(self.groups)
+        self.segments, self.links_a, self.links_b = skip_runs(ends_a, ends_b)
+        self.bounds = bounds = np.array([*chain.from_iterable(self.segments), len(ids_a), len(ids_b), False], np.int64).reshape(-1, 3)
+        self.stretch = bounds[:-1, 2] == 1
+        self.first_a, self.first_b = bounds[:-1, 0][self.stretch], bounds[:-1, 1][self.stretch]
+        self.length = np.diff(bounds[:, 0])[self.stretch]
+        self.n_groups = int(self.length.sum()) + int((~self.stretch).sum())
 
     def linked(self) -> tuple[np.ndarray, np.ndarray]:
         """Token positions of all links: those of the stretches, then those of irregular groups."""
-        runs = np.array(self.runs, np.int64).reshape(-1, 3)
-        step = np.arange(runs[:, 2].sum()) - np.repeat(np.cumsum(runs[:, 2]) - runs[:, 2], runs[:, 2])
-        links = np.array(self.links, np.int64).reshape(-1, 2)
-        return (np.r_[np.repeat(runs[:, 0], runs[:, 2]) + step, links[:, 0]], np.r_[np.repeat(runs[:, 1], runs[:, 2]) + step, links[:, 1]])
+        length = self.length
+        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        return (np.concatenate([np.repeat(self.first_a, length) + step, np.array(self.links_a, np.int64)]),
+                np.concatenate([np.repeat(self.first_b, length) + step, np.array(self.links_b, np.int64)]))
 
-    def text(self, names: list[str]) -> str:
+    def text(self, names: "GroupNames") -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-        a, b = [names[i] for i in self.ids_a], [names[i] for i in self.ids_b]
-        parts = [(i, ";".join([f"{x}|{y}" for x, y in zip(a[i:i + k], b[j:j + k])])) for i, j, k in self.runs]
-        parts += [(i, ",".join(a[i:i_end]) + "|" + ",".join(b[j:j_end])) for i, i_end, j, j_end in self.groups]
-        return ";".join([part for _, part in sorted(parts)])
+        n, m = len(self.ids_a), len(self.ids_b)
+        last_a, last_b = self._last(0, n), self._last(1, m)
+        end_a, end_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        # Where each token stands: after all tokens of earlier groups, the second tokenizer's after the first's.
+        out = np.empty(n + m, np.int64)
+        out[np.arange(n) + np.repeat(np.r_[0, end_b[:-1]], np.diff(end_a, prepend=0))] = 2 * np.array(self.ids_a) + last_a
+        out[np.arange(m) + np.repeat(end_a, np.diff(end_b, prepend=0))] = 2 * np.array(self.ids_b) + last_b + 2 * names.n
+        flat = names.table[out].ravel()
+        return flat[flat != 0].tobytes()[:-1]
+
+    def _last(self, side: int, n: int) -> np.ndarray:
+        """Which tokens end their group: all in stretches, the last one of an irregular group."""
+        flags = np.ones(n, bool)
+        starts, ends = self.bounds[:-1, side][~self.stretch], self.bounds[1:, side][~self.stretch]
+        size = ends - starts - 1
+        flags[np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = False
+        return flags
+
+
+class GroupNames:
+    """Ids in decimal with what follows them: inside a group, at the end of its first side, of its second.
+    A row of bytes each, filled up with zeros."""
+
+    def __init__(self, n: int):
+        self.n = n
+        names = np.array([f"{i}{mark}" for end in ("|", ";") for i in range(n) for mark in (",", end)], "S")
+        self.table = names.view(np.uint8).reshape(len(names), -1)
 
 
 _BLOCK_SCHEMA = ("_block bigint, _id {id_type}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -178,23 +226,20 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, bpe: str, pieces: bytes,
     shipped = df.sparkSession.sparkContext.broadcast((bpe, pieces))
 
     def run(batches):
-        first, second = _encoders(*shipped.value)
-        width = len(second.bytes)
-        names = [str(i) for i in range(max(len(first.bytes), width))]
+        both = _encoders(*shipped.value)
+        width = len(both.second.bytes)
+        names = GroupNames(max(len(both.first.bytes), width))
         block = TaskContext.get().partitionId() << 32
         for batch in slices(batches, most=block_bytes):
             out, codes = [], []
             for raw in as_bytes(batch.column(1)):
                 row, code = (0, 0, 0, 0, ""), np.zeros(0, np.int64)
-                if raw:
-                    text, target = raw.decode(), b" " + raw
-                    ids_a, ids_b = first.encode(" " + text), second.encode(text)
-                    ends_a, ends_b = ends_of(ids_a, first.bytes, target), ends_of(ids_b, second.bytes, target)
-                    if ends_a and ends_b:
-                        found = Alignment(ids_a, ids_b, ends_a, ends_b)
-                        at_a, at_b = found.linked()
-                        code = np.array(ids_a, np.int64)[at_a] * width + np.array(ids_b, np.int64)[at_b]
-                        row = (len(ids_a), len(ids_b), found.n_groups, len(code), hashlib.sha256(found.text(names).encode()).hexdigest())
+                if raw and (encoded := both.encode(raw.decode())):
+                    ids_a, ids_b, ends_a, ends_b = encoded
+                    found = Alignment(ids_a, ids_b, ends_a, ends_b)
+                    at_a, at_b = found.linked()
+                    code = np.array(ids_a, np.int64)[at_a] * width + np.array(ids_b, np.int64)[at_b]
+                    row = (len(ids_a), len(ids_b), found.n_groups, len(code), hashlib.sha256(found.text(names)).hexdigest())
                 out.append(row)
                 codes.append(np.unique(code, return_counts=True))
             pairs, docs = np.unique(np.concatenate([c for c, _ in codes]), return_counts=True)
@@ -213,7 +258,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, bpe: str, pieces: bytes,
             yield pa.RecordBatch.from_arrays([listed.get(f.name, pa.nulls(1, f.type)) for f in documents.schema], names_)
             block += 1
 
-    return rows.mapInArrow(run, schema), len(_encoders(bpe, pieces)[1].bytes)
+    return rows.mapInArrow(run, schema), len(_encoders(bpe, pieces).second.bytes)
 
 
 def _judged(key, documents: pa.Table, counted: pa.Table) -> pa.Table:
