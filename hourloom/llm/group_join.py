@@ -1,17 +1,18 @@
 """Jaccard join of documents on word n-grams by a token-group matrix, exact.
 
 Documents with the same n-gram set are one set. Similar sets are partitioned into groups by
-their smallest hashed n-gram, groups into chunks of bounded size. The matrix holds which chunk's
-token union has which token; only tokens that the prefix bound makes necessary are stored: of
-two sets that link, both hold at least ``SHARE`` common ones among their first tokens in one
-global order. Chunks are bounded against each other, then query sets against a chunk, by the
-tokens shared with the chunk's union and by the chunk's sizes; only where both pass is a query's
-overlap with each member counted, exactly.
-
-Only links matter, so a chunk first finds its own components, one set of each goes ahead to the
-qualifying chunks, and the rest are bounded and follow only where two chunks are not yet one
-component. No link between different texts can be lost: every pair that passes the bounds is
-either counted or already connected.
+their smallest hashed n-gram, groups into chunks of bounded size, and chunks, once their own links
+are counted, into cells: the connected sets of a chunk. The matrix holds which group's token union
+has which token; only tokens that the prefix bound makes necessary are stored: of two sets that
+link, both hold at least ``SHARE`` common ones among their first tokens in one global order, and
+each of these stands where enough tokens follow for the overlap still needed. Groups are bounded
+against each other by the tokens shared with a union, by sizes and by those places; a qualifying
+chunk is opened, and there a query's overlap with each member is counted, exactly.
+
+Only links matter: one set of each cell first asks the largest cell of its tokens, and then only
+cells of different components ask, the smaller one the larger one's chunk. No link between
+different texts can be lost: every pair that passes the bounds is either counted or already
+connected. Joins hold a row per cell, token and chunk, never all pairs of cells.
 
 The order puts tokens that many documents of one task share last (a bounded list, by count); it
 only decides how many candidates there are, not the result. Tokens and sets are told apart by
@@ -202,15 +203,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # The matrix: tokens that stand in the unions of two chunks or more. These joins are merge joins
     # at every size, so that AQE can split a token or chunk that very many rows have.
-    entries = chunked.select("_set", "_size", "_chunk", F.explode("_first").alias("_token"))
+    # _left: how many of a set's tokens stand from this one on, in the global order.
+    entries = chunked.select("_set", "_size", "_chunk", F.posexplode("_first").alias("_at", "_token")).withColumn("_left", F.col("_size") - F.col("_at"))
     wide = written(entries.groupBy("_token").agg(F.min("_chunk").alias("_low"), F.max("_chunk").alias("_high"))
                    .where("_low < _high").select("_token"), "wide-tokens")
-    matrix = written(entries.join(wide.hint("merge"), "_token").groupBy("_token", "_chunk", "_set").agg(F.first("_size").alias("_size")), "matrix")
-    unions = written(matrix.groupBy("_token", "_chunk").agg(F.min("_size").alias("_low"), F.max("_size").alias("_high")), "unions")
-    fits = (100 * F.col("_high") >= per_100 * F.col("_from")) & (100 * F.col("_to") >= per_100 * F.col("_low"))
+    matrix = written(entries.join(wide.hint("merge"), "_token").groupBy("_token", "_chunk", "_set").agg(
+        F.first("_size").alias("_size"), F.first("_left").alias("_left")), "matrix")
+    spread = [F.min("_size").alias("_low"), F.max("_size").alias("_high"), F.max("_left").alias("_left")]
+    unions = written(matrix.groupBy("_token", "_chunk").agg(*spread), "unions")
+    # Sizes fit, and so do places: the first SHARE common tokens of two sets stand where, in either, as
+    # many tokens follow as the overlap still needs. The least need of any two sets decides.
+    asking = [F.col("_low").alias("_from"), F.col("_high").alias("_to"), F.col("_left").alias("_mine")]
+    larger = lambda x, y: F.greatest(F.col(x), F.ceil(per_100 * F.col(y) / 100))
+    need = F.ceil(per_100 * (larger("_from", "_low") + larger("_low", "_from")) / (100 + per_100))
+    fits = ((100 * F.col("_high") >= per_100 * F.col("_from")) & (100 * F.col("_to") >= per_100 * F.col("_low"))
+            & (F.least("_mine", "_left") + (SHARE - 1) >= need))
     share = F.least(F.lit(SHARE), F.ceil(F.col("_from") * per_100 / 100))
     # First bound, union against union: what no two members can pass, no query needs to ask.
-    pairs = written(unions.select("_token", F.col("_chunk").alias("_own"), F.col("_low").alias("_from"), F.col("_high").alias("_to"))
+    pairs = written(unions.select("_token", F.col("_chunk").alias("_own"), *asking)
                     .join(unions, "_token").where("_own < _chunk").where(fits)
                     .groupBy("_own", "_chunk").agg(F.count("*").alias("_shared"), F.min("_from").alias("_from"))
                     .where(F.col("_shared") >= share).select("_own", "_chunk"), "qualifying")
@@ -225,25 +235,36 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inside = written(_inside(looked.select("_set", "_chunk").join(texts.hint("merge"), "_set"), n, per_100), "inside")
     members = written(looked.select("_set", "_chunk").join(inside, "_set"), "members")
 
-    # One set of each component inside a chunk goes ahead.
-    leaders = members.groupBy(F.col("_chunk").alias("_own"), "_label").agg(F.min("_set").alias("_set"))
-    ahead = written(pairs.join(leaders, "_own").select("_set", "_label", "_chunk"), "ahead")
+    # From here on a group is a cell: the sets of one component inside a chunk, under that set's name.
+    # Its union holds only what connected sets hold, so a chunk of unrelated sets asks set by set.
+    cells = written(matrix.join(inside.hint("merge"), "_set", "left").groupBy("_token", F.coalesce("_label", "_set").alias("_cell")).agg(
+        F.min("_chunk").alias("_chunk"), F.count("*").alias("_n"), *spread), "cells")
+    # The set that names a cell goes ahead, to the largest cell of each token: one row per cell and token.
+    largest = cells.groupBy("_token").agg(F.max(F.struct("_n", "_cell", "_chunk")).alias("_top")).select("_token", F.col("_top._cell").alias("_at"), F.col("_top._chunk").alias("_to"))
+    ahead = written(cells.join(largest.hint("merge"), "_token").where("_chunk <> _to").groupBy("_cell", "_at", "_to").agg(F.count("*").alias("_shared"))
+                    .where(F.col("_shared") >= SHARE).select(F.col("_cell").alias("_set"), F.col("_cell").alias("_label"), F.col("_to").alias("_chunk")).distinct(), "ahead")
     found = written(_opened(ahead, members, texts, n, per_100, tables), "links-ahead")
     joined = components(found)
-    # What is left: pairs of chunks that are not yet one component. Of two components in them the one
-    # with fewer sets asks; the second bound, each query against the chunk's union, is taken on opening.
-    named = written(members.join(joined, members["_label"] == joined["node"], "left")
-                    .select("_set", "_label", "_chunk", F.coalesce("component", "_label").alias("_component")), "named")
-    sizes = written(named.groupBy("_chunk", "_component").agg(F.count("*").alias("_n")), "component-sizes")
-    one = sizes.select(F.col("_chunk").alias("_own"), F.col("_component").alias("_a"), F.col("_n").alias("_na"))
-    two = sizes.select("_chunk", F.col("_component").alias("_b"), F.col("_n").alias("_nb"))
-    sides = pairs.join(one, "_own").join(two, "_chunk").where("_a <> _b")
-    turn = lambda x, y: F.when(F.col("_na") <= F.col("_nb"), F.col(x)).otherwise(F.col(y))
-    turns = sides.select(turn("_own", "_chunk").alias("_at"), turn("_a", "_b").alias("_component"), turn("_chunk", "_own").alias("_to_chunk")).distinct()
-    asks = named.join(turns, (named["_chunk"] == turns["_at"]) & (named["_component"] == turns["_component"])).select(
-        "_set", "_label", F.col("_to_chunk").alias("_chunk"))
-    late = asks.join(ahead.select("_set", "_chunk"), ["_set", "_chunk"], "left_anti")
-    rest = written(late, "asking-late")
+    # What is left: cells of different components that the bound lets pass. Tokens of one component drop
+    # out. A cell asks a chunk with which it shares enough tokens where a larger cell of another component
+    # stands (of two cells the smaller asks, by size and then by name): a row per cell, token and chunk.
+    sizes = members.groupBy(F.col("_label").alias("_cell")).agg(F.count("*").alias("_sets"))
+    named = cells.join(joined.withColumnRenamed("node", "_cell"), "_cell", "left").join(sizes, "_cell", "left").select(
+        "_token", "_chunk", "_low", "_high", "_left", F.coalesce("component", "_cell").alias("_component"), F.struct(F.coalesce("_sets", F.lit(1)).alias("n"), "_cell").alias("_rank"))
+    open_ = named.groupBy("_token").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most")).where("_least < _most").select("_token")
+    named = written(named.join(open_.hint("merge"), "_token"), "open-cells")
+    # The largest cell in a chunk, and the largest one of any other component; a chunk has few cells.
+    whole = [F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_left").alias("_left")]
+    ranked = named.groupBy("_token", "_chunk", "_component").agg(F.max("_rank").alias("_rank"), *whole)
+    held = ranked.groupBy("_token", "_chunk").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("_rank", "_component")), False), 1, 2).alias("_top"), *whole)
+    own = named.select("_token", F.col("_rank").alias("_own"), F.col("_chunk").alias("_at"), F.col("_component").alias("_a"), *asking)
+    other = F.when(F.col("_top")[0]["_component"] != F.col("_a"), F.col("_top")[0]["_rank"]).otherwise(F.try_element_at("_top", F.lit(2))["_rank"])
+    turns = written(own.join(held, "_token").where((F.col("_at") != F.col("_chunk")) & (other > F.col("_own")) & fits)
+                    .groupBy(F.col("_own._cell").alias("_label"), "_chunk").agg(F.count("*").alias("_shared"), F.min("_from").alias("_from"))
+                    .where(F.col("_shared") >= share).select("_label", "_chunk"), "turns")
+    asks = members.drop("_chunk").join(turns, "_label")
+    rest = written(asks.join(ahead.select("_set", "_chunk"), ["_set", "_chunk"], "left_anti"), "asking-late")
     if not rest.isEmpty():
         more = written(_opened(rest, members, texts, n, per_100, tables), "links-late")
         joined = components(found.union(more))

@@ -161,3 +161,37 @@ def test_component_helper(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (5, 4), (6, 6), (None, 1), (9, 8), (8, 7), (7, 9)], "a bigint, b bigint")
     assert {(r["node"], r["component"]) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7), (8, 7), (9, 7)}
     assert components(links.where("a > 99")).count() == 0
+
+
+def star(n, edits, seed):
+    """Near copies of one text: linked to it and, at few common edits, hardly to each other."""
+    rng = random.Random(seed)
+    base = prose(seed, 120, 5000).split()
+    rows = [" ".join(base)]
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(len(w)), edits):
+            w[at] = f"e{rng.randrange(10 ** 6)}"
+        rows.append(" ".join(w))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [4, 128])
+def test_stars_and_shared_passages_match_brute_force(spark, chunk):
+    """Groups of copies that link through few texts, and unrelated texts that share a passage."""
+    passage = prose(77, 40, 5000)
+    texts = [t for k, (n, edits) in enumerate(((30, 2), (40, 3), (30, 4))) for t in star(n, edits, 50 + k)]
+    texts += [f"{prose(600 + k, 25 + k % 30, 9000)} {passage} {prose(900 + k, 10, 9000)}" for k in range(60)]
+    rows = list(enumerate(texts))
+    got = keyed(group_join.jaccard_components(frame(spark, rows), n=4, per_100=85, chunk=chunk))
+    want = brute_components(rows, 4, 85)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (n, c) for i, n, c in want}
+    assert 60 < len({c for _, _, c in want}) < len(rows)
+
+
+def test_components_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = keyed(QUERIES["op6_group_join"](spark, sf))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {
+        i: (n, i if c is None else c) for i, n, c in brute_components(rows, 4, 85)}
