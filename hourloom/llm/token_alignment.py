@@ -44,7 +44,18 @@ BLOCK_BYTES = 1 << 22
 # The split pattern that byte-level BPE files of this kind mean by "ByteLevel".
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Outside Latin, classes may differ between Unicode versions; long unbroken runs are slow in the faster library.
-_NOT_PLAIN = re.compile("[^\x00-ɏ]|[^ ]{1000}|\\s{1000}")
+LONGEST_RUN = 1000
+_NOT_LATIN = re.compile("[^\x00-ɏ]")
+_SPACES = re.compile(r"\s{%d}" % LONGEST_RUN)
+
+
+def _plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        if _NOT_LATIN.search(text):
+            return False
+    return max(map(len, text.split(" "))) < LONGEST_RUN and not _SPACES.search(text)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -76,9 +87,9 @@ class ByteBpe:
         return self.fast.decode_bytes(ids)
 
     def encode(self, text: str) -> list[int]:
-        if _NOT_PLAIN.search(text):
-            return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        if _plain(text):
+            return self.fast.encode_ordinary(text)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 class PieceModel:
@@ -193,8 +204,7 @@ class Alignment:
         out = np.empty(n + m, np.int64)
         out[np.arange(n) + np.repeat(np.r_[0, end_b[:-1]], np.diff(end_a, prepend=0))] = 2 * np.array(self.ids_a) + last_a
         out[np.arange(m) + np.repeat(end_a, np.diff(end_b, prepend=0))] = 2 * np.array(self.ids_b) + last_b + 2 * names.n
-        flat = names.table[out].ravel()
-        return flat[flat != 0].tobytes()[:-1]
+        return names.table.take(out, axis=0).tobytes().translate(None, b"\0")[:-1]
 
     def _last(self, side: int, n: int) -> np.ndarray:
         """Which tokens end their group: all in stretches, the last one of an irregular group."""
@@ -231,8 +241,13 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, bpe: str, pieces: bytes,
         names = GroupNames(max(len(both.first.bytes), width))
         block = TaskContext.get().partitionId() << 32
         for batch in slices(batches, most=block_bytes):
-            out, codes = [], []
+            out, codes, known = [], [], {}
             for raw in as_bytes(batch.column(1)):
+                if raw in known:  # a copy within the block
+                    out.append(out[known[raw]])
+                    codes.append(codes[known[raw]])
+                    continue
+                known[raw] = len(out)
                 row, code = (0, 0, 0, 0, ""), np.zeros(0, np.int64)
                 if raw and (encoded := both.encode(raw.decode())):
                     ids_a, ids_b, ends_a, ends_b = encoded
