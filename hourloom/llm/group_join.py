@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import Tables, WordHashes, as_bytes, grams, mixed, row_key, slices
+from .text import Tables, WordHashes, as_bytes, grams, mixed, row_key, slices, unused, written
 
 SHARE = 3
 CHUNK = 128
@@ -191,7 +191,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     rows = df.select(row_key(id_col, text_col).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     tables = Tables(spark)
-    written = tables.written
+    written = tables.written  # dropped at the end, unless kept
     common = spark.sparkContext.broadcast(common_tokens(rows, n))  # at most COMMON_TOKENS values
     seen = written(_prefixes(rows, n, per_100, common), "prefixes")
 
@@ -278,3 +278,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return placed.join(least, "_class", "left").select(
         F.col("_id").alias(id_col), F.col("_row").alias("row_key"), F.col("_size").cast("bigint").alias("n_shingles"),
         F.coalesce("_least", "_id").alias("component_id"), F.coalesce("_first_row", "_row").alias("component_row"))
+
+
+def one_of_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, per_100: int = 80) -> DataFrame:
+    """``df`` with one row of each group of linked rows: that of the smallest id, null ids last, then of
+    the smallest row key, then (of rows equal in id and text) of the smallest other columns. Rows
+    without words stay. Columns of any name and type stay."""
+    judged = jaccard_components(df, id_col, text_col, n=n, per_100=per_100).where("n_shingles > 0")
+    # Rows that are equal in id and text share their key: of those that stay, only repeated keys are listed.
+    listed = judged.groupBy("row_key", (F.col("row_key") == F.col("component_row")).alias("_stays")).agg(F.count("*").alias("_n"))
+    verdict = written(listed.where("NOT _stays OR _n > 1").select("row_key", "_stays"), "near-verdict")
+    at, gone, repeated = (unused(c, df.columns) for c in ("_row_key", "_gone_key", "_repeated_key"))
+    keyed = df.withColumn(at, row_key(id_col, text_col))
+    stays = keyed.join(verdict.select(F.col("row_key").alias(gone)), F.col(at) == F.col(gone), "left_anti").select(*df.columns)
+    again = keyed.join(verdict.where("_stays").select(F.col("row_key").alias(repeated)), F.col(at) == F.col(repeated), "left_semi")
+    # Maps have no order: their text decides.
+    order = F.struct(*[F.to_json(c) if f.dataType.typeName() == "map" else F.col(c) for f, c in zip(df.schema, df.columns)])
+    one = again.groupBy(at).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+    return stays.unionByName(one)

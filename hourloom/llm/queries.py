@@ -18,7 +18,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ALIGNED = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 # Target shares of sources in the mixture: the first sources are raised, the others level.
 MIX_WEIGHTS = {f"src{i}": w for i, w in enumerate([4.0, 3.0, 2.0, 2.0] + [1.0] * 16)}
-# The weight of every source that is not named, null included; the SQL twin knows the named ones only.
+# The weight of every source that is not named, null included.
 OTHER_WEIGHT = 1.0
 
 
@@ -63,7 +63,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), scores)
 
 
-@query("op5_mix_sources", poisson_mix.mix_sql(MIX_WEIGHTS))
+@query("op5_mix_sources", poisson_mix.mix_sql(MIX_WEIGHTS, OTHER_WEIGHT))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, other=OTHER_WEIGHT)
 

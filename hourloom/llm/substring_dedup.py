@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Tables, WordHashes, as_bytes, mixed, row_key, slices, spans_mask
+from .text import Tables, WordHashes, as_bytes, mixed, row_key, slices, spans_mask, unused
 
 WINDOW = 50
 LONGEST_RUN = 3
@@ -273,3 +273,17 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                              ["row_key", id_col, "n_words", "n_removed", "kept_sha256", "cleaned"])
 
     return marked.mapInArrow(run, f"row_key bigint, `{id_col}` {id_type}, n_words bigint, n_removed bigint, kept_sha256 string, cleaned string")
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``df`` with cleaned texts (and their sizes in ``size_col``, if there is one); rows left without any
+    word, that had some, go. Columns of any name stay."""
+    cleaned = substring_dedup(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    key, text, emptied = (unused(c, df.columns) for c in ("_changed_key", "_changed_text", "_changed_emptied"))
+    changed = cleaned.where("n_removed > 0").select(
+        F.col("row_key").alias(key), F.col("cleaned").alias(text), (F.col("n_removed") == F.col("n_words")).alias(emptied)).distinct()
+    joined = df.join(changed, row_key(id_col, text_col) == F.col(key), "left").where(f"{emptied} IS NULL OR NOT {emptied}")
+    new = {text_col: F.coalesce(F.col(text), F.col(text_col))}
+    if size_col in df.columns:
+        new[size_col] = F.when(F.col(key).isNull(), F.col(size_col)).otherwise(F.char_length(text).cast(df.schema[size_col].dataType))
+    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,14 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, or with underscores after it the first that no column has (names do not tell case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(key: str, parts: int, part: int = 2) -> Column:
     """Whether crc32 of the key as text falls in the held-out remainder; a null key never does."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == part, F.lit(False))

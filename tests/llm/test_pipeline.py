@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from hourloom.llm.queries import quality_model
 from hourloom.llm.text import written
@@ -69,5 +71,18 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_stages_take_empty_input(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
-    for _, stage in cp.STAGES[1:]:
+    for _, stage in cp.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    a = prose(1, 80)
+    rows = [(1, a), (1, a), (2, a), (None, None), (3, prose(3, 90))]
+    names = ("_key", "_of", "_first", "_stays", "_row_key", "_mix_mean", "_mix_source", "_changed_key", "_n", "row_key", "n_removed")
+    docs = frame(spark, rows).select(*COLUMNS).withColumns({c: F.lit(5) for c in names}).withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id")))
+    for name, stage in cp.STAGES:
+        out = written(stage(spark, docs, SF), "t")
+        assert out.columns[:len(docs.columns)] == docs.columns
+        assert all(r[c] == 5 for r in out.collect() for c in names)
+        if name == "near_duplicates":
+            assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
