@@ -3,53 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hourloom.llm import compression_quality, decontaminate, group_join, poisson_mix, substring_dedup
 from hourloom.llm.queries import MIX_WEIGHTS, OTHER_WEIGHT, quality_model
-from hourloom.llm.text import row_key, table, written
+from hourloom.llm.text import table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts."""
+    """Documents that the compression classifier accepts.
+
+    Null and empty texts are scored as empty ones; repeated rows are judged alike; extra columns of any
+    name stay; an empty table stays empty."""
     return compression_quality.accepted(docs, quality_model(spark, sf_dir))
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (5-word n-grams, 0.8): the one of smallest id, null ids
-    last, then of smallest row key, then (of rows equal in id and text) of smallest other columns.
+    """One row of each group of near copies (5-word n-grams, 0.8).
 
-    Documents without words link with nothing and stay."""
-    judged = group_join.jaccard_components(docs, n=5, per_100=80).where("n_shingles > 0")
-    # Rows that are equal in id and text share their key: of those that stay, only repeated keys are listed.
-    listed = judged.groupBy("row_key", (F.col("row_key") == F.col("component_row")).alias("_first")).agg(F.count("*").alias("_n"))
-    verdict = written(listed.where("NOT _first OR _n > 1").select(F.col("row_key").alias("_key"), "_first"), "near-verdict")
-    key = row_key("doc_id", "text")
-    stays = docs.join(verdict, key == verdict["_key"], "left_anti")
-    repeated = docs.withColumn("_of", key).join(verdict.where("_first"), F.col("_of") == F.col("_key"), "left_semi")
-    one = repeated.groupBy("_of").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return stays.unionByName(one)
+    The row of smallest id stays, null ids last; repeated rows count as copies. Documents without words
+    link with nothing and stay; an empty table stays empty; extra columns of any name stay."""
+    return group_join.one_of_group(docs, n=5, per_100=80)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-word passages that stand in a document of smaller id; those
-    left without any word go."""
-    cleaned = substring_dedup.substring_dedup(docs.select("doc_id", "text"))
-    changed = cleaned.where("n_removed > 0").select(F.col("row_key"), "cleaned", (F.col("n_removed") == F.col("n_words")).alias("emptied")).distinct()
-    joined = docs.join(changed, row_key("doc_id", "text") == changed["row_key"], "left").where(changed["emptied"].isNull() | ~changed["emptied"])
-    new = {"text": F.coalesce(changed["cleaned"], docs["text"]),
-           "n_chars": F.when(changed["row_key"].isNull(), docs["n_chars"]).otherwise(F.char_length(changed["cleaned"]).cast("bigint"))}
-    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+    left without any word go.
+
+    Rows with a null id or a null text keep what they have; repeated rows lose alike; extra columns of
+    any name stay; an empty table stays empty."""
+    return substring_dedup.without_repeats(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages do not contaminate."""
+    """Documents that benchmark passages do not contaminate.
+
+    Null and empty texts are clean; repeated rows are judged alike; extra columns of any name stay; an
+    empty table, or an empty benchmark, removes nothing."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Poisson copies of documents in target shares of their sources, in shuffled order."""
-    return poisson_mix.mix_sources(docs, MIX_WEIGHTS, even=False, other=OTHER_WEIGHT)
+    """Poisson copies of documents in target shares of their sources, in shuffled order.
+
+    Rows with null ids, null texts or null sources draw as others do, repeated rows each for itself;
+    extra columns stay, of any name but copy_no and mix_key; an empty table stays empty."""
+    return poisson_mix.mix_sources(docs, MIX_WEIGHTS, other=OTHER_WEIGHT)
 
 
 STAGES = [
