@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.metrics import anchors
-from ..operators.split import temporal_split
-from ..plans import backtest, evaluate, features as feats, forecast, gate, intervals, models
-from ..session import KEY
+from ..operators.split import label_splits
+from ..plans import backtest, evaluate, features as feats, forecast, forest, gate, intervals, models
+from ..session import KEY, stored
 from . import series as S
 from .core import cte, query
 from .modelling import CHECKED, _fitted
@@ -125,11 +125,42 @@ def _(spark, sf):
 @query("fc_recursive_trees", "request_id series_id step:i ts:t pred:f")
 def _(spark, sf):
     demand = S.canonical(spark, sf)
-    model = _fitted(spark, sf)[0]
+    model = forest.ForestModel.of(_fitted(spark, sf)[0])
     resolved = forecast.resolve_requests(_requests(spark, sf), _anchors(demand))
-    return forecast.recursive_model(
-        models.with_levels(model.levels, model.overall, resolved), forecast.seed_arrays(demand),
-        forecast.serving_features, lambda d: models.score_trees(model, d))
+    return forecast.recursive_linear(resolved, forecast.seed_arrays(demand), model)
+
+
+# A fixed ensemble, so that its SQL can be written down: lags, the day's mean and the hour.
+FOREST = forest.Forest.build(
+    ("demand_lag_24h", "demand_lag_168h", "demand_roll_mean_24h", "hour"),
+    [{0: (0, 60.0, 1, 2, 0.0), 1: (1, 45.0, 3, 4, 0.0), 2: (3, 11.5, 5, 6, 0.0), 3: (-1, 0.0, -1, -1, 41.5), 4: (-1, 0.0, -1, -1, 52.25),
+      5: (-1, 0.0, -1, -1, 66.0), 6: (2, 75.0, 7, 8, 0.0), 7: (-1, 0.0, -1, -1, 71.125), 8: (-1, 0.0, -1, -1, 83.0)},
+     {0: (2, 64.0, 1, 2, 0.0), 1: (-1, 0.0, -1, -1, -3.5), 2: (0, 90.0, 3, 4, 0.0), 3: (-1, 0.0, -1, -1, 2.75), 4: (-1, 0.0, -1, -1, 6.0)},
+     {0: (-1, 0.0, -1, -1, 0.5)}])
+
+
+@query("ml_forest_score", "series_id ts:t actual:f pred:f", f"""
+SELECT series_id, ts, demand_gw AS actual, {FOREST.sql({n: n for n in FOREST.inputs})} AS pred FROM features""", "features")
+def _(spark, sf):
+    scored = forest.score_forest(FOREST, feats.build_features(S.canonical(spark, sf)))
+    return scored.select(KEY, "ts", F.col("demand_gw").alias("actual"), F.col("prediction").alias("pred"))
+
+
+def _forest_step_sql(a: str, hour: str) -> str:
+    at = lambda k: f"{a}[greatest(len({a}) - {k - 1}, 1)]"
+    return FOREST.sql({"demand_lag_24h": at(24), "demand_lag_168h": at(168), "demand_roll_mean_24h": f"list_avg({a}[-24:])", "hour": hour})
+
+
+@query("fc_recursive_forest", "request_id series_id step:i ts:t pred:f", f"""
+SELECT request_id, series_id, step, start_ts + to_hours(step) AS ts, path[step + 1] AS pred
+FROM (SELECT *, unnest(range(hours)) AS step FROM (
+  SELECT r.*, list_reduce(list_concat([s.seed], list_transform(range(r.hours), lambda h: [h::DOUBLE])), lambda a, i:
+    list_append(a, {_forest_step_sql('a', "((hour(r.start_ts) + i[1]::BIGINT) % 24)")}))[len(s.seed) + 1:] AS path
+  FROM requests r JOIN seeds s ON r.series_id = s.series_id))""", "requests seeds")
+def _(spark, sf):
+    demand = S.filled(spark, sf)
+    resolved = forecast.resolve_requests(_requests(spark, sf), _anchors(demand))
+    return forecast.recursive_linear(resolved, forecast.seed_arrays(demand), forest.ForestModel(FOREST))
 
 
 FILL_FEATURES = ["demand_lag_1h", "demand_lag_24h", "demand_lag_168h", "demand_roll_mean_24h", "demand_roll_std_24h",
@@ -168,15 +199,13 @@ def _(spark, sf):
 def _(spark, sf):
     """Recursive path of the fitted model; bounds are scored in one batch once the path is known."""
     demand = S.canonical(spark, sf)
-    rows = feats.build_features(demand).persist()
+    rows = stored(label_splits(feats.build_features(demand), "2024-01-22", calibration=120), "features")
     names = feats.feature_names()
-    fit = models.fit_leaf_quantiles(rows.where("ts < timestamp'2024-01-22'"), names)
-    offsets = intervals.conformal_offsets(fit.bounds(rows.where("ts >= timestamp'2024-01-22'")), actual="demand_gw")
-    model = _fitted(spark, sf)[0]
+    fit = models.fit_leaf_quantiles(rows.where("split = 'train'"), names)
+    offsets = intervals.conformal_offsets(fit.bounds(rows.where("split = 'calibration'")), actual="demand_gw")
     resolved = forecast.resolve_requests(_requests(spark, sf), _anchors(demand))
-    path = forecast.recursive_model(
-        models.with_levels(model.levels, model.overall, resolved), forecast.seed_arrays(demand),
-        forecast.serving_features, lambda d: models.score_trees(model, d))
+    fitted = models.fit_trees(rows.where("split = 'train'"), names, CHECKED)
+    path = stored(forecast.recursive_linear(resolved, forecast.seed_arrays(demand), forest.ForestModel.of(fitted)), "paths")
     # Each request continues the history of its own series; requests do not see each other.
     ids = resolved.select("request_id", KEY)
     past = demand.join(ids, KEY).select("request_id", KEY, "ts", "demand_gw", F.lit(None).cast("int").alias("step"))
@@ -383,6 +412,14 @@ def _(spark, sf):
     return backtest.recursive_window(S.filled(spark, sf), DAYS, MODEL, reanchor_hours=72)
 
 
+@query("bt_recursive_trees", WINDOW_SPEC)
+def _(spark, sf):
+    """The window forecast recursively by the fitted trees, which learned from rows before it."""
+    demand = S.canonical(spark, sf)
+    fitted = _fitted(spark, sf)[0]
+    return backtest.recursive_window(demand, DAYS, forest.ForestModel.of(fitted))
+
+
 @query("bt_oracle_vs_recursive", "series_id n:i dm_mean:f dm_statistic:f dm_pvalue:f dm_note")
 def _(spark, sf):
     demand = S.canonical(spark, sf)

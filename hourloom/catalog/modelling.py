@@ -8,7 +8,7 @@ from ..operators.clean import resample_daily_mean
 from ..operators.split import label_splits, temporal_split
 from ..plans import features as feats
 from ..plans import intervals, linear, models, seasonal
-from ..session import KEY
+from ..session import KEY, stored
 from . import series as S
 from .core import cte, query
 from .scalars import _lagged
@@ -20,21 +20,13 @@ CUT = "2024-01-22"
 
 
 def _features(spark, sf):
-    return feats.build_features(S.canonical(spark, sf)).persist()
-
-
-_FITS: dict[tuple[str, str], models.PooledTrees] = {}
+    """Stored once per query: fits and scores scan it, instead of planning 32 windows again."""
+    return stored(feats.build_features(S.canonical(spark, sf)), "features")
 
 
 def _fitted(spark, sf):
-    """The model of a session and folder, fitted once: four queries read it."""
-    train, test = temporal_split(feats.build_features(S.canonical(spark, sf)), CUT)
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITS:
-        kept = train.persist()
-        _FITS[key] = models.fit_trees(kept, feats.feature_names(), CHECKED)
-        kept.unpersist()
-    return _FITS[key], train, test
+    train, test = temporal_split(_features(spark, sf), CUT)
+    return models.fit_trees(train, feats.feature_names(), CHECKED), train, test
 
 
 @query("ml_point_fit", "series_id mae:f rmse:f mape:f")
@@ -105,7 +97,7 @@ def _band(spark, sf):
         KEY, "ts", F.col("demand_gw").alias("actual"),
         F.least("demand_lag_24h", "demand_lag_168h").alias("lower"),
         F.greatest("demand_lag_24h", "demand_lag_168h").alias("upper"))
-    return label_splits(rows, CUT, calibration=240)
+    return stored(label_splits(rows, CUT, calibration=240), "band")
 
 
 @query("ml_conformal", "series_id ts:t actual:f lower:f upper:f conformal_offset:f", """

@@ -12,7 +12,7 @@ from ..operators import clean
 from ..operators.metrics import metrics_by_model
 from ..operators.rank import tail
 from ..plans.features import lag_columns
-from ..schemas import DEMAND
+from ..schemas import DEMAND, LOAD_PAGE
 from ..session import scratch
 from ..sources import pages, registry, tables
 from . import series as S
@@ -36,6 +36,34 @@ def _(spark, sf):
     return pages.read_load_pages(spark, path).withColumn("gw", clean.mega_to_giga(F.col("value")))
 
 
+REPORT = "series_id total:i n_pages:i n_rows:i missing_rows:i repeated_rows:i repeated_pages:i shifted_pages:i first_empty:i complete"
+cte("landed", """
+SELECT series_id, k, n, sum(n) OVER (PARTITION BY series_id) AS total, sum(n) OVER (PARTITION BY series_id ORDER BY k) - n AS first
+FROM (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY p) - 1 AS k, n FROM (
+  SELECT series_id, CAST(floor(epoch(ts) / 3600 / 100) AS BIGINT) AS p, count(*) AS n FROM hourly GROUP BY 1, 2))""", "hourly")
+
+
+@query("src_load_reconcile", REPORT, """
+SELECT series_id, max(total) AS total, count(*) AS n_pages, sum(n) FILTER (k <> 2) + coalesce(max(n) FILTER (k = 1), 0) AS n_rows,
+  coalesce(max(n) FILTER (k = 2), 0) AS missing_rows, coalesce(max(n) FILTER (k = 1), 0) AS repeated_rows, count(*) FILTER (k = 1) AS repeated_pages,
+  0 AS shifted_pages, max(total) AS first_empty, CAST(coalesce(max(n) FILTER (k = 2), 0) = 0 AS VARCHAR) AS complete
+FROM (SELECT series_id, k, n, total FROM landed UNION ALL SELECT DISTINCT series_id, -1, 0, total FROM landed) GROUP BY 1
+""".replace("count(*) AS n_pages", "count(*) FILTER (k <> 2) + count(*) FILTER (k = 1) AS n_pages"), "landed")
+def _(spark, sf):
+    """Pages of 100 hours, of which the third is lost and the second landed twice, up to an empty one."""
+    from pyspark.sql import Window
+
+    path = scratch(spark, "reconciled-pages")
+    landed = pages.load_pages(S.hourly(spark, sf), F.round(F.col("demand_gw") * 1000).cast("bigint"), page_size=100)
+    numbered = landed.withColumn("_k", F.row_number().over(Window.partitionBy("series_id").orderBy("offset")) - 1)
+    empty = landed.groupBy("series_id").agg(F.max(F.col("response.total")).alias("total")).select(
+        "series_id", F.col("total").cast("bigint").alias("offset"), F.struct("total", F.array().cast(landed.schema["response"].dataType["data"].dataType).alias("data")).alias("response"))
+    kept = numbered.where("_k <> 2").unionByName(numbered.where("_k = 1")).drop("_k")
+    kept.unionByName(empty).write.json(path)
+    report = pages.reconcile_pages(spark.read.schema(LOAD_PAGE).json(path))
+    return report.withColumn("complete", F.col("complete").cast("string"))
+
+
 @query("src_load_increment", "series_id ts:t demand_gw:f fallback:i", """
 SELECT series_id, ts, demand_gw, 0 AS fallback FROM hourly WHERE ts > TIMESTAMP '2024-01-15' AND demand_gw <= 1000
 UNION ALL SELECT series_id, ts, demand_gw, 1 FROM hourly WHERE ts > TIMESTAMP '2024-01-15'""", "hourly")

@@ -65,7 +65,7 @@ def lag_alignment_report(df: DataFrame, value="demand_gw", lag="demand_lag_1h",
 
 def ordering_report(df: DataFrame, temp="temperature_f", growth="data_center_load_gw") -> DataFrame:
     """Group means that must be ordered: January/July, 03:00/12:00, first/second half."""
-    rows = with_positions(df)
+    rows = with_positions(df.select(KEY, "ts", temp, growth))
     first_half = F.col("_pos") < F.floor(F.col("_n") / 2)
     mean = lambda value, cond: F.avg(F.when(cond, F.col(value)))
     return rows.groupBy(KEY).agg(

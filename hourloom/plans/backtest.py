@@ -255,6 +255,7 @@ def recursive_window(df: DataFrame, days: int, model: LinearModel, reanchor_hour
         "_past": F.filter("_rows", lambda r: r["_into"] < F.col("_chunk") * chunk),
         "_test": F.filter("_rows", lambda r: r["_into"] >= F.col("_chunk") * chunk),
     })
+    packed = model.prepared(packed)
     path = recursive_path(F.col("_past.demand_gw"), F.col("_test")[0]["ts"], F.size("_test"), model)
     zipped = F.arrays_zip(F.col("_test.ts").alias("ts"), F.col("_test.demand_gw").alias("actual"), path.alias("pred"))
     return packed.select(KEY, F.explode(zipped).alias("_z")).select(KEY, "_z.ts", "_z.actual", "_z.pred")

@@ -108,6 +108,10 @@ class LinearModel:
     exogenous: Callable[[Column], Column] | None = None
     temperature: float = 0.0
 
+    def prepared(self, rows: DataFrame) -> DataFrame:
+        """Rows with what a step reads from them; nothing here."""
+        return rows
+
     def step(self, history: Column, ts: Column, temperature: Column | None = None) -> Column:
         out = F.lit(self.intercept)
         for k, c in self.lags.items():
@@ -146,8 +150,10 @@ def recursive_path(history: Column, start: Column, hours: Column, model: LinearM
 
 
 def recursive_linear(requests: DataFrame, seeds: DataFrame, model: LinearModel) -> DataFrame:
-    """Recursive forecast per resolved request, as one projection without a loop."""
-    rows = seeded(requests, seeds)
+    """Recursive forecast per resolved request, as one projection without a loop.
+
+    ``model`` is anything with ``step`` and ``prepared``: coefficients or a fitted forest."""
+    rows = model.prepared(seeded(requests, seeds)).where("hours > 0")
     path = recursive_path(F.col("seed"), F.col("start_ts"), F.col("hours"), model)
     return rows.select("request_id", KEY, "start_ts", F.posexplode(path).alias("step", "pred")).select(
         "request_id", KEY, "step", (F.col("start_ts") + F.make_dt_interval(hours=F.col("step"))).alias("ts"), "pred"
@@ -185,15 +191,16 @@ def serve_requests(
     if weather is not None:
         ready = ready.join(horizon_temperatures(resolved, weather), "request_id", "left")
         temperatures = F.col("temperatures")
+    ready = model.prepared(ready)
     path = recursive_path(F.col("seed"), F.col("start_ts"), F.col("hours"), model, temperatures)
     points = ready.where("hours > 0").select("request_id", KEY, "start_ts", F.posexplode(path).alias("step", "pred")).select(
         "request_id", KEY, "step", (F.col("start_ts") + F.make_dt_interval(hours=F.col("step"))).alias("ts"), "pred")
     return const_band(points, band)
 
 
-def serving_scalars(ts: Column) -> dict[str, Column]:
-    """Calendar, cyclic, degree and growth inputs of an hour, with the proxy temperature."""
-    warmth = synthetic_temperature(ts, None)
+def serving_scalars(ts: Column, temperature: Column | None = None) -> dict[str, Column]:
+    """Calendar, cyclic, degree and growth inputs of an hour, with the proxy temperature unless one is given."""
+    warmth = synthetic_temperature(ts, None) if temperature is None else temperature
     return {**calendar_columns(ts, "serve"), **cyclic_columns(ts), **degree_columns(warmth), "data_center_load_gw": growth_proxy(ts)}
 
 

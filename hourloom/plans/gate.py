@@ -67,8 +67,7 @@ def retrain(
     merged = union_prefer_first(existing, increment)
     if enrich:
         merged = fill_temperature(merged)
-    # Read once by the fit and once by the scoring; spills to disk when large.
-    features = build_features(merged).persist()
+    features = stored(build_features(merged), "retrain-features")
     train, test = temporal_split(features, test_start)
     metrics = metrics_by_model(fit_and_score(train, test), (KEY,)).select(KEY, F.col("mape").alias("new_mape"))
     ends = merged.groupBy(KEY).agg(F.to_date(F.max("ts")).alias("new_end_date"), F.count("*").alias("data_rows"))

@@ -11,6 +11,7 @@ DEMAND = T.StructType([
 
 LOAD_PAGE = T.StructType([
     T.StructField("series_id", T.StringType()),
+    T.StructField("offset", T.LongType()),
     T.StructField("response", T.StructType([
         T.StructField("total", T.StringType()),
         T.StructField("data", T.ArrayType(T.StructType([

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.buckets import hour_index
@@ -54,15 +54,56 @@ def clamp_days(days: Column) -> Column:
     return F.least(F.lit(FORECAST_DAYS[1]), F.greatest(F.lit(FORECAST_DAYS[0]), days))
 
 
-def load_pages(df: DataFrame, value: Column) -> DataFrame:
-    """Rows packed into page structs of at most ``PAGE_SIZE`` hours, for landing as JSON."""
-    page = F.floor(hour_index("ts") / PAGE_SIZE)
+def load_pages(df: DataFrame, value: Column, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Rows packed into page structs of at most ``page_size`` hours, for landing as JSON, each with
+    the offset it was asked for and the total that the service states."""
+    page = F.floor(hour_index("ts") / page_size)
     item = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH").alias("period"), value.cast("string").alias("value"))
-    return (
-        df.groupBy(KEY, page.alias("_page"))
-        .agg(F.array_sort(F.collect_list(item)).alias("data"))
-        .select(KEY, F.struct(F.size("data").cast("string").alias("total"), "data").alias("response"))
-    )
+    packed = df.groupBy(KEY, page.alias("_page")).agg(F.array_sort(F.collect_list(item)).alias("data")).withColumn("_n", F.size("data"))
+    # A row per page: a series of a hundred years has 176.
+    before = Window.partitionBy(KEY).orderBy("_page")
+    return packed.select(
+        KEY, (F.sum("_n").over(before) - F.col("_n")).alias("offset"),
+        F.struct(F.sum("_n").over(Window.partitionBy(KEY)).cast("string").alias("total"), "data").alias("response"))
+
+
+def reconcile_pages(pages: DataFrame) -> DataFrame:
+    """Per series, what the landed pages hold of the rows that the service states.
+
+    A page covers the offsets from its own up to its rows; pages may be missing, landed twice,
+    or shifted (the service's rows moved between two requests, so that neighbours meet in
+    periods though not in offsets, or the stated total changes). ``first_empty`` is the offset
+    of the first page without rows, where paging has to stop.
+
+    Result: total (largest stated one), n_pages, n_rows, missing_rows, repeated_rows,
+    repeated_pages, shifted_pages, totals, first_empty, complete. Pages without an offset or a
+    readable total are counted in ``n_pages`` only; a series of such pages is not complete.
+    """
+    # Landed twice: one page per offset, the one with most rows, counts.
+    page = pages.select(
+        KEY, "offset", F.expr("try_cast(response.total AS BIGINT)").alias("total"), F.coalesce(F.size("response.data"), F.lit(0)).alias("_size"),
+        F.array_min("response.data.period").alias("_low"), F.array_max("response.data.period").alias("_high"))
+    once = page.groupBy(KEY, "offset").agg(
+        F.max(F.struct(F.greatest("_size", F.lit(0)).alias("_size"), "_low", "_high")).alias("_p"), F.count("*").alias("_times"),
+        F.sum(F.greatest("_size", F.lit(0))).alias("_rows"), F.max("total").alias("_most"), F.min("total").alias("_least")).select(
+        KEY, "offset", "_p.*", "_times", "_rows", "_most", "_least", (F.col("offset") + F.col("_p._size")).alias("_end"))
+    order = Window.partitionBy(KEY).orderBy("offset")
+    reached = F.coalesce(F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.last(F.when(F.col("_size") > 0, F.col("_high")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = once.withColumns({"_reached": reached, "_last": last})
+    known = F.col("offset").isNotNull()
+    fresh = F.greatest(F.col("_end") - F.greatest("offset", "_reached"), F.lit(0))
+    shifted = known & (F.col("_size") > 0) & (F.col("offset") >= F.col("_reached")) & (F.col("_low") <= F.col("_last"))
+    out = placed.groupBy(KEY).agg(
+        F.max("_most").alias("total"), F.sum("_times").alias("n_pages"), F.sum(F.when(known, F.col("_rows")).otherwise(0)).alias("n_rows"),
+        F.sum(F.when(known, fresh).otherwise(0)).alias("_covered"), F.sum(F.when(known, F.col("_times") - 1).otherwise(0)).alias("repeated_pages"),
+        F.count_if(shifted).alias("shifted_pages"), F.min("_least").alias("_least"),
+        F.min(F.when(F.col("_size") <= 0, F.col("offset"))).alias("first_empty"))
+    missing = F.greatest(F.col("total") - F.col("_covered"), F.lit(0))
+    return out.select(
+        KEY, "total", "n_pages", "n_rows", missing.alias("missing_rows"), (F.col("n_rows") - F.col("_covered")).alias("repeated_rows"),
+        "repeated_pages", "shifted_pages", (F.col("total") != F.col("_least")).alias("totals_differ"), "first_empty",
+        F.coalesce((missing == 0) & (F.col("shifted_pages") == 0) & (F.col("total") == F.col("_least")) & (F.col("_covered") == F.col("total")), F.lit(False)).alias("complete"))
 
 
 def weather_pages(df: DataFrame) -> DataFrame:
