@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import anchors
 from ..operators.split import label_splits
-from ..plans import backtest, evaluate, features as feats, forecast, forest, gate, intervals, models
-from ..session import KEY, stored
+from ..plans import backtest, evaluate, features as feats, forecast, forest, gate, intervals, lifecycle, models
+from ..session import KEY, scratch, stored
+from ..sources.publish import current
+from ..sources.registry import load_runs
 from . import series as S
 from .core import cte, query
 from .modelling import CHECKED, _fitted
@@ -477,3 +479,36 @@ def _(spark, sf):
         return models.long_predictions(models.score_trees(model, test), "trees")
 
     return gate.retrain(existing, increment, state, "2024-01-22", fit_and_score)
+
+
+# Two runs of the stored lifecycle with the value of the day before as the model.
+def _mape_sql(end: str) -> str:
+    return f"""SELECT series_id, round(avg(CASE WHEN demand_gw <> 0 THEN abs((demand_gw - demand_lag_24h) / demand_gw) END) * 100, 4) AS mape
+FROM features WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '{end}' GROUP BY 1"""
+
+
+@query("gate_lifecycle", "series_id version:i runs:i last_end_date:d baseline_mape:f", f"""
+SELECT a.series_id, 1 + CAST((SELECT count(*) > 0 FROM ({_mape_sql('2024-01-22')}) x JOIN ({_mape_sql('2024-02-01')}) y ON x.series_id = y.series_id
+    AND y.mape <= x.mape * 1.05) AS INT) AS version, 2 AS runs,
+  CASE WHEN b.mape <= a.mape * 1.05 THEN e.last ELSE DATE '2024-01-21' END AS last_end_date,
+  CASE WHEN b.mape <= a.mape * 1.05 THEN b.mape ELSE a.mape END AS baseline_mape
+FROM ({_mape_sql('2024-01-22')}) a JOIN ({_mape_sql('2024-02-01')}) b ON a.series_id = b.series_id
+JOIN (SELECT series_id, CAST(max(ts) AS DATE) AS last FROM canonical GROUP BY 1) e ON e.series_id = a.series_id""", "features canonical")
+def _(spark, sf):
+    """Published state after a first run on three weeks and a second one that starts from its end date."""
+    demand = S.canonical(spark, sf)
+    root = scratch(spark, "lifecycle")
+    wide = demand.select(KEY).distinct().select(KEY, F.lit(1e9).alias("baseline_mape"), F.lit("2024-01-10").cast("date").alias("last_end_date"),
+                                                F.lit(None).cast("timestamp").alias("last_run"))
+
+    def naive(train, test):
+        pred = test.select(KEY, "ts", F.col("demand_gw").alias("actual"), F.lit("naive").alias("model"), F.col("demand_lag_24h").alias("pred"))
+        return lifecycle.Fitted(pred, lambda path: train.select(F.max("ts")).toDF("trained_to").write.parquet(path))
+
+    rows = demand.drop("temperature_f")
+    for upto, run_ts, state in (("2024-01-22", "2024-02-02 00:00:00", wide), ("2024-02-01", "2024-02-03 00:00:00", None)):
+        increment = rows.where(F.col("ts") < F.lit(upto).cast("timestamp"))
+        lifecycle.run_retrain(spark, root, demand.where("ts < timestamp'2024-01-11'"), increment, run_ts, "2024-01-15", naive, state)
+    version = current(spark, root)
+    runs = load_runs(spark, f"{root}/registry").count()
+    return lifecycle.published_state(spark, root).select(KEY, F.lit(version.version).alias("version"), F.lit(runs).alias("runs"), "last_end_date", "baseline_mape")
