@@ -483,7 +483,7 @@ def _(spark, sf):
 
 # Two runs of the stored lifecycle with the value of the day before as the model.
 def _mape_sql(end: str) -> str:
-    return f"""SELECT series_id, round(avg(CASE WHEN demand_gw <> 0 THEN abs((demand_gw - demand_lag_24h) / demand_gw) END) * 100, 4) AS mape
+    return f"""SELECT series_id, avg(CASE WHEN demand_gw <> 0 THEN abs((demand_gw - demand_lag_24h) / demand_gw) END) * 100 AS mape
 FROM features WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '{end}' GROUP BY 1"""
 
 

@@ -36,6 +36,7 @@ PICKED = [
     "set_union_prefer_first", "fn_structural_load", "win_features_full", "win_features_serve", "win_halo", "dq_ordering",
     "agg_quantile_events", "agg_histogram", "ev_dm_hac", "ev_calibration_curve", "ml_conformal", "fc_recursive",
     "fc_zero_fill", "bt_fold_table_rolling", "bt_walk_forward_linear", "bt_recursive_reanchored", "gate_state",
+    "src_load_reconcile", "ev_dm_simple_p", "ml_forest_score", "fc_recursive_forest", "gate_lifecycle",
 ]
 
 
