@@ -352,6 +352,23 @@ def _(spark, sf):
         rows, lambda train: models.fit_trees(train, names, params, "actual"), score, **GEOMETRY)
 
 
+# Overlapping, irregular folds: one per series and day, of two to six days, purged by six hours.
+@query("join_interval_folds", "series_id fold:d n:i mean:f", """
+SELECT f.series_id, f.day AS fold, count(*) AS n, avg(h.demand_gw) AS mean
+FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS day FROM hourly) f JOIN filled h
+  ON f.series_id = h.series_id AND h.ts >= f.day + INTERVAL 6 HOUR AND h.ts < f.day + to_days(CAST(2 + day(f.day) % 5 AS INT))
+GROUP BY 1, 2""", "hourly filled")
+def _(spark, sf):
+    from ..operators.buckets import hour_index
+    from ..operators.intervals import interval_join
+
+    days = S.hourly(spark, sf).select(KEY, F.to_date("ts").alias("fold")).distinct()
+    start = hour_index(F.col("fold").cast("timestamp"))
+    rows = S.filled(spark, sf)
+    met = interval_join(rows, days, hour_index("ts"), start + 6, start + 24 * (2 + F.dayofmonth("fold") % 5))
+    return met.groupBy(KEY, "fold").agg(F.count("*").alias("n"), F.avg("demand_gw").alias("mean"))
+
+
 # On-demand windows
 
 DAYS = 10
