@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.buckets import KEYS, drop_halo, halo_window, with_halo
 from ..operators.rank import tail
-from ..session import KEY
+from ..session import KEY, stored
 from .linear import fit_ols, linear_prediction
 
 # Differencing lags and model lags of (1,1,1)(1,1,1,7).
@@ -60,7 +60,11 @@ MODEL_COLUMNS = [f"w_{k}" for k in MODEL_LAGS] + [f"e_{k}" for k in MODEL_LAGS]
 
 def fit_seasonal(daily: DataFrame) -> DataFrame:
     """Coefficients, residual variance, AIC and BIC per series."""
-    fit = fit_ols(_stage_rows(daily), MODEL_COLUMNS, "w")
+    return _fit_stage(_stage_rows(daily))
+
+
+def _fit_stage(rows: DataFrame) -> DataFrame:
+    fit = fit_ols(rows, MODEL_COLUMNS, "w")
     k = len(MODEL_COLUMNS) + 2
     n = F.col("n")
     deviance = n * (F.log(F.lit(6.283185307179586) * F.col("rss") / n) + 1)
@@ -73,8 +77,8 @@ def fit_seasonal(daily: DataFrame) -> DataFrame:
 
 def forecast_seasonal(daily: DataFrame, steps: int, fit: DataFrame | None = None) -> DataFrame:
     """``steps`` daily forecasts per series; future shocks are zero."""
-    rows = _stage_rows(daily)
-    fit = fit_seasonal(daily) if fit is None else fit
+    rows = stored(_stage_rows(daily), "stage-rows")  # read by the fit and by the last days
+    fit = _fit_stage(rows) if fit is None else fit
     depth = max(MODEL_LAGS)
     last = (
         tail(rows, depth)
