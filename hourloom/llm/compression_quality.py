@@ -92,21 +92,21 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, floa
 
 
 def fit_compression_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *,
-                          sample_per_label: int = 3000, max_chars: int = 8192, dictionary_bytes: int = 1 << 16) -> CompressionModel:
-    """Fit on a bounded sample: of each label at most ``sample_per_label`` rows of ``labels``, those
-    with the smallest hash of the id, each text read up to ``max_chars`` characters. Half of them
-    make the dictionaries, the other half, unseen by these, calibrates. The bound is of the fit
-    alone; scoring reads whole texts.
+                          sample_per_label: int = 3000, dictionary_bytes: int = 1 << 16) -> CompressionModel:
+    """Fit on a bounded sample: of each label at most ``sample_per_label`` ids of ``labels``, those
+    with the smallest hash, each with its whole text. Half of them make the dictionaries, the other
+    half, unseen by these, calibrates. The bound is of the fit alone; scoring reads every text.
 
     The sample is chosen among labels and then looked up, so documents are scanned once and not moved.
+    An id counts once, with the smallest of its texts, however often labels or documents repeat it.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
-        F.col(id_col), F.col(label_col).cast("int").alias("_label"), F.xxhash64(F.col(id_col).cast("string")).alias("_order"))
+        F.col(id_col), F.col(label_col).cast("int").alias("_label"), F.xxhash64(F.col(id_col).cast("string")).alias("_order")).distinct()
     chosen = [known.where(F.col("_label") == k).orderBy("_order").limit(sample_per_label) for k in (0, 1)]
     # At most twice sample_per_label rows.
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    found = documents.where(F.col(text_col).isNotNull()).join(picked, id_col).select(
-        "_label", "_order", F.substring(text_col, 1, max_chars).alias("_text")).collect()
+    found = documents.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_text")).join(picked, id_col).groupBy(
+        "_label", "_order", id_col).agg(F.min("_text").alias("_text")).collect()
     found.sort(key=lambda r: (r["_order"], r["_text"]))
     texts = {k: [r["_text"].encode() for r in found if r["_label"] == k] for k in (0, 1)}
     total = len(texts[0]) + len(texts[1])

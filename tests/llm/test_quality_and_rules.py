@@ -55,6 +55,18 @@ def test_quality_without_both_labels(spark):
         assert 0 < keyed(cq.score_quality(frame(spark, [(1, "text")]), fitted))[1]["score"] < 1
 
 
+def test_quality_learns_from_whole_texts_and_once_per_id(spark, model):
+    """What tells the classes apart stands behind 20,000 equal characters; repeated rows change nothing."""
+    head = "plain opening words " * 1000
+    rows = [(i, head + t * 3, y) for i, t, y in labelled(30)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    fitted = cq.fit_compression_model(given.drop("quality"), given.drop("text"))
+    again = cq.fit_compression_model(given.drop("quality").unionAll(given.drop("quality")), given.drop("text").unionAll(given.drop("text")))
+    assert fitted == again
+    got = keyed(cq.score_quality(frame(spark, [(1000 + i, t) for i, t, _ in labelled(10)]), fitted))
+    assert all((got[1000 + i]["score"] > 0.5) == (i < 10) for i in range(20))
+
+
 def test_quality_query_on_held_out_rows(spark):
     got = keyed(QUERIES["op1_quality_classifier"](spark, SF))
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
