@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import resample_daily_mean
 from ..operators.split import label_splits, temporal_split
 from ..plans import features as feats
-from ..plans import intervals, linear, models, seasonal
+from ..plans import forest_quantiles, intervals, linear, models, seasonal
 from ..session import KEY, stored
 from . import series as S
 from .core import cte, query
@@ -57,7 +57,7 @@ def _(spark, sf):
 @query("ml_quantile_fit", "series_id ts:t demand_gw:f lower:f median:f upper:f")
 def _(spark, sf):
     train, test = temporal_split(_features(spark, sf), CUT)
-    return models.fit_leaf_quantiles(train, feats.feature_names()).bounds(test)
+    return forest_quantiles.fit_forest_quantiles(train, feats.feature_names()).bounds(test)
 
 
 @query("ml_quantile_conformal", "series_id raw_coverage:f coverage:f")
