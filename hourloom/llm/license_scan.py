@@ -2,9 +2,10 @@
 regression) proposes a licence family, a calibrated threshold gives an "unknown" class,
 and comparison with the family's templates confirms the proposal.
 
-Defined results: null and empty texts have no paragraphs and no licence. Every input row
-gives one output row with a (possibly empty) list of findings in text order; only the id
-and text columns are read.
+Defined results: null and empty texts have no paragraphs and no licence; an empty table gives
+an empty result, and fitting on one still knows the templates. Every input row gives one output
+row with a (possibly empty) list of findings in text order; only the id and text columns are
+read. A licence that is denied, and a relative of a known one, are "unknown".
 """
 
 from __future__ import annotations
@@ -23,6 +24,15 @@ from .text import as_bytes, map_rows, slices
 
 # Short forms in which licences are declared, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "agpl": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
+    "apache-1.1": (
+        "Licensed under the Apache License, Version 1.1.",
+        "Licensed under the Apache Software License, Version 1.1.",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -37,15 +47,36 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+    "cc-by-sa": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
+    "cc0": (
+        "Released under CC0 1.0.",
+        "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication.",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "lgpl": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
@@ -54,12 +85,29 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
+    "unlicense": (
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+    ),
 }
-# Short identifiers of the families.
+# Short identifiers of the families.
 SPDX = {
-    "apache-2.0": ("Apache-2.0",), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "cc-by-nc": ("CC-BY-NC-4.0",), "cc-by": ("CC-BY-4.0",),
-    "gpl": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"), "mit": ("MIT",), "mpl-2.0": ("MPL-2.0",),
+    "agpl": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "apache-1.1": ("Apache-1.1",), "apache-2.0": ("Apache-2.0",),
+    "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "cc-by-nc": ("CC-BY-NC-4.0",), "cc-by-nd": ("CC-BY-ND-4.0",), "cc-by-sa": ("CC-BY-SA-4.0",),
+    "cc-by": ("CC-BY-4.0",), "cc0": ("CC0-1.0",), "gpl": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "isc": ("ISC",), "lgpl": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"), "mit": ("MIT",),
+    "mpl-2.0": ("MPL-2.0",), "unlicense": ("Unlicense",),
 }
+# Words of a licence's name that tell it from its relatives: where a template has one, the text must
+# have it too, and where the template has none, the text must not have it among the matched words.
+TELLING = frozenset(
+    b"affero apache attribution attribution-noncommercial attribution-noderivatives attribution-sharealike attribution-noncommercial-sharealike "
+    b"attribution-noncommercial-noderivatives bsd bsd-style by by-nc by-nc-nd by-nc-sa by-nd by-sa cc0 isc lesser library mit mozilla "
+    b"noncommercial noderivatives sharealike unlicense 1.0 1.1 2.0 2.1 3.0 4.0".split())
+# Words that deny what follows.
+DENIALS = frozenset((b"not", b"never", b"no", b"nor", b"neither", b"isn", b"aren", b"wasn"))
+# A denial this many words before the first matched word counts.
+DENIAL_REACH = 3
 TEMPLATES = {family: (*texts, *(f"SPDX-License-Identifier: {name}" for name in SPDX[family])) for family, texts in TEMPLATES.items()}
 UNKNOWN = "unknown"
 
@@ -92,7 +140,7 @@ class LicenseModel:
 
     def probabilities(self, words: list[bytes]) -> np.ndarray:
         at = _buckets(words)
-        z = (self.weights[:, at].sum(axis=1) / np.sqrt(max(1, len(at))) + self.bias) / self.temperature
+        z = (self.weights[at].sum(axis=0) / np.sqrt(max(1, len(at))) + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -105,8 +153,27 @@ class LicenseModel:
         return max(size for ts in self.templates.values() for _, size in ts)
 
     def overlap(self, family: str, words: list[bytes]) -> float:
-        grams = set(zip(words, words[1:]))
-        return max((len(g & grams) / len(g) for g, _ in self.templates.get(family, [])), default=0.0)
+        """The largest share of a template's bigrams that the words hold; templates whose telling words
+        the matched span misses or exceeds, or that are denied, do not count."""
+        pairs = list(zip(words, words[1:]))
+        grams = set(pairs)
+        best = 0.0
+        for g, _ in self.templates.get(family, []):
+            share = len(g & grams) / len(g)
+            if share > best and (share < self.confirm or self._aligned(g, words, pairs)):
+                best = share
+        return best
+
+    @staticmethod
+    def _aligned(template: frozenset, words: list[bytes], pairs: list[tuple[bytes, bytes]]) -> bool:
+        hits = [i for i, pair in enumerate(pairs) if pair in template]
+        first, last = hits[0], hits[-1] + 2
+        own = {w for pair in template for w in pair}
+        # One more word at each end: a template's last word may be replaced there.
+        span = set(words[max(0, first - 1):last + 1])
+        if not (own & TELLING <= span and span & TELLING <= own):
+            return False
+        return DENIALS.isdisjoint(words[max(0, first - DENIAL_REACH):first]) and DENIALS.isdisjoint(set(words[first:last]) - own)
 
     def find(self, words: list[bytes]) -> tuple[str, float, float] | None:
         """(family or unknown, probability, template overlap), or None if nothing speaks of a licence:
@@ -116,7 +183,7 @@ class LicenseModel:
         p = self.probabilities(words)
         k = int(p.argmax())
         family = self.families[k]
-        overlap = self.overlap(family, words)
+        overlap = self.overlap(family, words) if family != UNKNOWN else 0.0
         if family == UNKNOWN or p[k] < self.accept or overlap < self.confirm:
             if (family == UNKNOWN or p[k] < self.accept) and not any(map(_CUE.search, words)):
                 return None
@@ -161,21 +228,24 @@ class LicenseModel:
             i = end
 
 
-def fit_license_model(background: DataFrame, text_col: str = "text", *, sample: int = 2000, seed: int = 7,
+def fit_license_model(background: DataFrame, text_col: str = "text", *, sample: int = 2000, paragraphs: int = 1200, seed: int = 7,
                       variants: int = 60, accept: float = 0.6, confirm: float = 0.6) -> LicenseModel:
     """Train from noisy variants of the templates against ordinary paragraphs.
 
-    ``background`` gives at most ``sample`` texts (smallest content hash first; the documented
-    bound of the fit) whose paragraphs are examples of the unknown class, besides template words
-    in random order, which teach it that loose licence words are not a licence. The softmax
-    temperature is calibrated on held-out variants.
+    ``background`` gives about ``sample`` distinct texts (content hash below a threshold that follows
+    the number of rows), of whose lines ``paragraphs`` at random are examples of the unknown class: the
+    documented bounds of the fit. Besides, template words in random order teach that class that loose
+    licence words are not a licence. The softmax temperature is calibrated on held-out variants.
     """
     rng = np.random.default_rng(seed)
     families = (*TEMPLATES, UNKNOWN)
     examples: list[tuple[list[bytes], int]] = []
-    rows = (background.where(F.col(text_col).isNotNull()).select(F.substring(text_col, 1, 4000).alias("_text"))
-            .orderBy(F.xxhash64("_text"), "_text").limit(sample).collect())
-    plain = [w for r in rows for p in r["_text"].encode().split(b"\n") if (w := normal_words(p)) and len(w) < 200]
+    texts = background.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text"))
+    # Only texts below the threshold leave their task, so the driver's load does not grow with the tasks.
+    order = F.shiftrightunsigned(F.xxhash64("_text"), 11)
+    below = int((1 << 53) * min(1.0, sample / max(1, texts.count())))
+    rows = texts.where(order < F.lit(below)).distinct().orderBy(order, "_text").limit(sample).collect()
+    plain = [w for r in rows for p in r["_text"].encode().split(b"\n") if (w := normal_words(p))]
     filler = [w for ws in plain for w in ws] or [b"word"]
     pool = [w for ts in TEMPLATES.values() for t in ts for w in normal_words(t.encode())]
     for k, family in enumerate(TEMPLATES):
@@ -186,7 +256,7 @@ def fit_license_model(background: DataFrame, text_col: str = "text", *, sample:
                 before, after = ([filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 12))] for _ in range(2))
                 examples.append((before + kept + after, k))
     last = len(families) - 1
-    examples += [(plain[i], last) for i in rng.permutation(len(plain))[:20 * variants]]
+    examples += [(plain[i], last) for i in rng.permutation(len(plain))[:paragraphs]]
     for _ in range(8 * variants):
         loose = [pool[i] for i in rng.integers(0, len(pool), rng.integers(3, 20))]
         examples.append((loose + [filler[i] for i in rng.integers(0, len(filler), 8)], last))
@@ -218,7 +288,7 @@ def fit_license_model(background: DataFrame, text_col: str = "text", *, sample:
     for family, texts in TEMPLATES.items():
         split = [normal_words(t.encode()) for t in texts]
         templates[family] = [(frozenset(zip(w, w[1:])), len(w)) for w in split]
-    return LicenseModel(families, weights.astype(np.float32), bias, temperature, accept, confirm, templates)
+    return LicenseModel(families, np.ascontiguousarray(weights.T, np.float32), bias, temperature, accept, confirm, templates)
 
 
 def scan_licenses(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -158,6 +158,37 @@ def test_license_wrapped_and_compound(spark, licences):
     assert len(got[4]["findings"]) == len(got[5]["findings"]) == 1 and got[6]["findings"] == []
 
 
+@pytest.mark.parametrize("line, family", [
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "agpl"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "unknown"),
+    ("Licensed under the Apache License, Version 1.1.", "apache-1.1"),
+    ("Licensed under the Apache License, Version 1.0.", "unknown"),
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+    ("Released under the ISC License.", "isc"),
+    ("Released under CC0 1.0.", "cc0"),
+    ("Released under the Unlicense.", "unlicense"),
+    ("This is not released under the MIT License.", "unknown"),
+    ("It was never licensed under the Apache License, Version 2.0.", "unknown"),
+    ("SPDX-License-Identifier: LGPL-3.0-only", "lgpl"),
+])
+def test_license_relatives_and_denials(licences, line, family):
+    _, hits = licences.findings(line.encode())
+    assert [h[1] for h in hits] == [family]
+
+
+def test_license_sample_is_bounded_and_the_same_for_copies(spark):
+    rows = [(i, prose(i, 20)) for i in range(300)]
+    once = license_scan.fit_license_model(frame(spark, rows), sample=400)
+    again = license_scan.fit_license_model(frame(spark, rows), sample=400)
+    assert (once.weights == again.weights).all() and once.temperature == again.temperature
+    assert license_scan.fit_license_model(frame(spark, [])).findings(b"Released under the MIT License.")[1][0][1] == "mit"
+
+
 def test_license_edges(spark, licences):
     rows = license_scan.scan_licenses(frame(spark, edges()), licences).collect()
     assert len(rows) == len(edges()) and all(r["n_paragraphs"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
