@@ -16,11 +16,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_bytes, map_rows, slices
+from .text import WordHashes, as_bytes, grams, map_rows, slices
 
 # Short forms in which licences are declared, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -112,8 +111,8 @@ TEMPLATES = {family: (*texts, *(f"SPDX-License-Identifier: {name}" for name in S
 UNKNOWN = "unknown"
 
 BUCKETS = 1 << 14
-# Words that mention licensing, alone or inside a compound.
-_CUE = re.compile(rb"licen[cs]|copyright|redistribut|^permission|^warrant|^[al]?gpl")
+# Parts of words that mention licensing, alone or inside a compound; a space stands for a word's start.
+_CUES = (b"licenc", b"licens", b"copyright", b"redistribut", b" permission", b" warrant", b" gpl", b" agpl", b" lgpl")
 _WORD = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -121,11 +120,21 @@ def normal_words(paragraph: bytes) -> list[bytes]:
     return _WORD.findall(paragraph.lower())
 
 
-def _buckets(words: list[bytes]) -> np.ndarray:
-    """Distinct hashed 1- and 2-grams of words."""
-    out = {xxhash.xxh32_intdigest(w) % BUCKETS for w in words}
-    out.update(xxhash.xxh32_intdigest(a + b" " + b) % BUCKETS for a, b in zip(words, words[1:]))
-    return np.fromiter(out, np.int64, len(out))
+_HASHES = WordHashes()
+# Words of lines that are scored at once.
+SCORED_WORDS = 20_000
+
+
+def _buckets(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed 1- and 2-grams of each line (which must hold a word), and where each line's begin."""
+    hashes = _HASHES.of([w for words in lines for w in words])
+    line = np.repeat(np.arange(len(lines)), [len(words) for words in lines])
+    inside = line[1:] == line[:-1]
+    size = np.uint64(BUCKETS)
+    one = line * BUCKETS + (hashes % size).astype(np.int64)
+    two = line[1:][inside] * BUCKETS + (grams(hashes, 2)[inside] % size).astype(np.int64)
+    keys = np.unique(np.concatenate((one, two)))
+    return keys % BUCKETS, np.searchsorted(keys, np.arange(len(lines)) * BUCKETS)
 
 
 @dataclass(frozen=True)
@@ -138,11 +147,30 @@ class LicenseModel:
     confirm: float
     templates: dict[str, list[tuple[frozenset, int]]]
 
-    def probabilities(self, words: list[bytes]) -> np.ndarray:
-        at = _buckets(words)
-        z = (self.weights[at].sum(axis=0) / np.sqrt(max(1, len(at))) + self.bias) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+    def probabilities(self, lines: list[list[bytes]]) -> np.ndarray:
+        """One row per line, each of which must hold a word."""
+        at, starts = _buckets(lines)
+        sizes = np.diff(starts, append=len(at))
+        z = (np.add.reduceat(self.weights[at], starts, axis=0) / np.sqrt(sizes)[:, None] + self.bias) / self.temperature
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def proposals(self, lines: list[list[bytes]]) -> list[tuple[int, float]]:
+        """The likeliest class and its probability of every line; unknown for lines without words."""
+        out = [(len(self.families) - 1, 1.0)] * len(lines)
+        some, words = [], 0
+        for i, line in enumerate([*lines, None]):
+            if line is None or words >= SCORED_WORDS:
+                if some:
+                    p = self.probabilities([lines[j] for j in some])
+                    best = p.argmax(axis=1)
+                    for j, k, top in zip(some, best.tolist(), p[np.arange(len(some)), best].tolist()):
+                        out[j] = k, top
+                some, words = [], 0
+            if line:
+                some.append(i)
+                words += len(line)
+        return out
 
     @cached_property
     def _known(self) -> frozenset:
@@ -152,18 +180,35 @@ class LicenseModel:
     def _longest(self) -> int:
         return max(size for ts in self.templates.values() for _, size in ts)
 
-    def overlap(self, family: str, words: list[bytes]) -> float:
-        """The largest share of a template's bigrams that the words hold; templates whose telling words
-        the matched span misses or exceeds, or that are denied, do not count."""
+    @cached_property
+    def _holders(self) -> dict[tuple[bytes, bytes], list[tuple[str, int]]]:
+        """Bigram -> the templates that hold it."""
+        out: dict = {}
+        for family, ts in self.templates.items():
+            for i, (g, _) in enumerate(ts):
+                for pair in g:
+                    out.setdefault(pair, []).append((family, i))
+        return out
+
+    def overlaps(self, words: list[bytes]) -> dict[str, float]:
+        """Of each family with any, the largest share of a template's bigrams that the words hold; templates
+        whose telling words the matched span misses or exceeds, or that are denied, do not count."""
         pairs = list(zip(words, words[1:]))
-        grams = set(pairs)
-        best = 0.0
-        for g, _ in self.templates.get(family, []):
-            share = len(g & grams) / len(g)
-            if share > best and (share < self.confirm or self._aligned(g, words, pairs)):
-                best = share
+        held: dict[tuple[str, int], int] = {}
+        for pair in self._known.intersection(pairs):
+            for template in self._holders[pair]:
+                held[template] = held.get(template, 0) + 1
+        best: dict[str, float] = {}
+        for (family, i), count in held.items():
+            g = self.templates[family][i][0]
+            share = count / len(g)
+            if share > best.get(family, 0.0) and (share < self.confirm or self._aligned(g, words, pairs)):
+                best[family] = share
         return best
 
+    def overlap(self, family: str, words: list[bytes]) -> float:
+        return self.overlaps(words).get(family, 0.0)
+
     @staticmethod
     def _aligned(template: frozenset, words: list[bytes], pairs: list[tuple[bytes, bytes]]) -> bool:
         hits = [i for i, pair in enumerate(pairs) if pair in template]
@@ -175,35 +220,36 @@ class LicenseModel:
             return False
         return DENIALS.isdisjoint(words[max(0, first - DENIAL_REACH):first]) and DENIALS.isdisjoint(set(words[first:last]) - own)
 
-    def find(self, words: list[bytes]) -> tuple[str, float, float] | None:
+    def find(self, words: list[bytes], proposal: tuple[int, float] | None = None) -> tuple[str, float, float] | None:
         """(family or unknown, probability, template overlap), or None if nothing speaks of a licence:
         neither the model proposes a family nor is licensing mentioned."""
         if not words:
             return None
-        p = self.probabilities(words)
-        k = int(p.argmax())
+        k, p = proposal or self.proposals([words])[0]
         family = self.families[k]
         overlap = self.overlap(family, words) if family != UNKNOWN else 0.0
-        if family == UNKNOWN or p[k] < self.accept or overlap < self.confirm:
-            if (family == UNKNOWN or p[k] < self.accept) and not any(map(_CUE.search, words)):
-                return None
+        if family == UNKNOWN or p < self.accept or overlap < self.confirm:
+            if family == UNKNOWN or p < self.accept:
+                said = b" " + b" ".join(words)
+                if not any(cue in said for cue in _CUES):
+                    return None
             family = UNKNOWN
-        return family, float(p[k]), overlap
+        return family, p, overlap
 
     def findings(self, text: bytes) -> tuple[int, list[tuple[int, str, float, float]]]:
         """Number of lines with a word, and the findings with the number of the line each starts in."""
-        count, hits, run = 0, [], []
-        for line in [*text.split(b"\n"), b""]:
-            if line and not line.isspace():
-                run.append(normal_words(line))
-            elif run:
-                hits += [(count + i, *hit) for i, hit in self._in_run(run)]
-                count, run = count + len(run), []
+        lines = [normal_words(line) if line and not line.isspace() else None for line in text.split(b"\n")]
+        proposals = self.proposals([words or [] for words in lines])
+        count, hits, start = 0, [], 0
+        for end, words in enumerate([*lines, None]):
+            if words is None:
+                hits += [(count + i, *hit) for i, hit in self._in_run(lines[start:end], proposals[start:end])]
+                count, start = count + end - start, end + 1
         return count, hits
 
-    def _in_run(self, lines: list[list[bytes]]):
+    def _in_run(self, lines: list[list[bytes]], proposals: list[tuple[int, float]]):
         """Findings of consecutive lines: of each line, or of the group of lines from it that confirms a family."""
-        alone = [self.find(words) for words in lines]
+        alone = [self.find(words, proposal) for words, proposal in zip(lines, proposals)]
         i = 0
         while i < len(lines):
             hit, end = alone[i], i + 1
@@ -217,8 +263,7 @@ class LicenseModel:
                     # Without a template's words across its first line break, no group starts here.
                     if j == i + 1 and self._known.isdisjoint(zip(group, group[1:])):
                         break
-                    best = max(self.templates, key=lambda f: self.overlap(f, group))
-                    found = self.find(group) if self.overlap(best, group) >= self.confirm else None
+                    found = self.find(group) if max(self.overlaps(group).values(), default=0.0) >= self.confirm else None
                     if found and found[0] != UNKNOWN and found[2] > self.overlap(found[0], rest) and (end == i + 1 or found[2] > hit[2]):
                         hit, end = found, j + 1
                     elif end > i + 1 or len(group) > 3 * self._longest:
@@ -262,7 +307,7 @@ def fit_license_model(background: DataFrame, text_col: str = "text", *, sample:
         examples.append((loose + [filler[i] for i in rng.integers(0, len(filler), 8)], last))
 
     order = rng.permutation(len(examples))
-    data = [(_buckets(examples[i][0]), examples[i][1]) for i in order]
+    data = [(_buckets([examples[i][0]])[0], examples[i][1]) for i in order if examples[i][0]]
     cut = len(data) * 4 // 5
     weights, bias = np.zeros((len(families), BUCKETS)), np.zeros(len(families))
     for epoch in range(6):
