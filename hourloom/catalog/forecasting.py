@@ -349,7 +349,8 @@ def _(spark, sf):
         return scored.select(KEY, "segment", "actual", F.col("prediction").alias("pred"))
 
     return backtest.walk_forward_model(
-        rows, lambda train: models.fit_trees(train, names, params, "actual"), score, **GEOMETRY)
+        rows, lambda train, known: models.fit_trees(train, names, params, "actual", known=known), score,
+        levels="actual", **GEOMETRY)
 
 
 # Overlapping, irregular folds: one per series and day, of two to six days, purged by six hours.

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators.buckets import with_positions
 from ..operators.metrics import error_metrics
-from ..session import KEY, scratch
+from ..session import KEY, ensure_checkpoints, scratch, stored
 from .features import PROFILES, build_features
 from .forecast import LinearModel, history_rows, recursive_path
 from .linear import linear_prediction, moments, solve
+from .models import fold_levels
 
 # Fold geometry, minimum sizes, window limits, summary threshold.
 TRAIN_MONTHS = 12
@@ -24,6 +25,10 @@ WINDOW_DAYS = (1, 90)
 RECURSIVE_HORIZON = 72
 MAPE_THRESHOLD = 3.5
 
+# Tasks of a stage of a fold's fit: one per so many rows, and a few at least.
+FIT_ROWS = 8192
+FIT_TASKS = 8
+
 
 def _days(n: Column | int) -> Column:
     return F.make_dt_interval(days=n if isinstance(n, Column) else F.lit(n))
@@ -150,42 +155,57 @@ def walk_forward_linear(df: DataFrame, xs: Sequence[str], y: str = "demand_gw",
 
 def walk_forward_model(
     df: DataFrame,
-    fit: Callable[[DataFrame], object],
+    fit: Callable[..., object],
     score: Callable[[object, DataFrame], DataFrame],
     parallelism: int = 4,
+    levels: str | None = None,
     **geometry,
 ) -> DataFrame:
     """Folds of a fitted model: one pooled fit per fold, several folds at a time.
 
-    ``score`` returns rows with ``actual`` and ``pred``. The number of folds is
-    small (one per ``test_days``), so only their numbers reach the driver.
+    ``score`` returns rows with ``actual`` and ``pred``. With ``levels``, a target column, ``fit`` is
+    also given the ``fold_levels`` of its fold. The number of folds is small (one per ``test_days``),
+    so only their numbers reach the driver. What all folds share (rows, folds, levels) is found once;
+    a fold adds the jobs of its fit, and their tasks follow the number of rows.
     """
     sizes = {k: geometry[k] for k in ("train_months", "test_days") if k in geometry}
-    rows = assign_folds(df, **sizes).persist()
-    folds = fold_table(df, **geometry).persist()
+    base = df.persist()
+    folds = stored(fold_table(base, **geometry), "folds")
     starts = folds.groupBy("segment").agg(F.min("test_start").alias("_first"))
     first = {r["segment"]: r["_first"] for r in starts.collect()}
     numbers = sorted(first)
+    # The folds of a series are the first ones without a break, so its last one says where it takes part.
+    last = folds.groupBy(KEY).agg(F.max("segment").alias("_last"))
+    spread = assign_folds(base, **sizes).join(last, KEY).persist()
+    tasks = max(FIT_TASKS, spread.count() // FIT_ROWS)
+    few = spread.coalesce(tasks) if spread.rdd.getNumPartitions() > tasks else spread
+    # Every stage of a fit is sent out with all that its rows derive from; a checkpoint ends that here.
+    ensure_checkpoints(df.sparkSession)
+    rows = few.checkpoint()
+    spread.unpersist()
+    base.unpersist()
+    known = {}
+    if levels is not None:
+        table, overall = fold_levels(rows, folds.join(starts, "segment"), levels)
+        known = {k: (table.where(F.col("_fold") == k).drop("_fold"), overall.get(k, (0.0, 0.0))) for k in numbers}
 
     def one(k: int) -> DataFrame:
-        alive = folds.where(F.col("segment") == k).select(KEY)
+        alive = rows.where(F.col("_last") >= k).drop("_last")
         # One model serves all series: nothing from after the earliest test start may reach it.
-        train = rows.where((F.col("segment") < k) & (F.col("ts") < F.lit(first[k]))).join(alive, KEY, "left_semi")
-        test = rows.where(F.col("segment") == k).join(alive, KEY, "left_semi")
-        return score(fit(train), test).select(KEY, "segment", "actual", "pred")
+        train = alive.where((F.col("segment") < k) & (F.col("ts") < F.lit(first[k])))
+        test = alive.where(F.col("segment") == k)
+        fitted = fit(train, known[k]) if known else fit(train)
+        return score(fitted, test).select(KEY, "segment", "actual", "pred")
 
     with ThreadPoolExecutor(parallelism) as pool:
         parts = list(pool.map(one, numbers))
     scored = rows.where("false").select(KEY, "segment", F.lit(0.0).alias("actual"), F.lit(0.0).alias("pred"))
     for part in parts:
         scored = scored.unionByName(part)
-    # Written once, so that the inputs can be let go.
     path = scratch(df.sparkSession, "fold-scores")
     scored.write.parquet(path)
     out = df.sparkSession.read.schema(scored.schema).parquet(path)
-    rows.unpersist()
-    folds.unpersist()
-    return fold_metrics(out, fold_table(df, **geometry))
+    return fold_metrics(out, folds)
 
 
 def summarize_folds(folds: DataFrame, threshold: float = MAPE_THRESHOLD) -> DataFrame:

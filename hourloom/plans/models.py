@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.buckets import with_positions
 from ..operators.quantile import quantiles
 from ..operators.rank import tail
-from ..session import KEY, ensure_checkpoints, scratch
+from ..session import KEY, ensure_checkpoints, scratch, stored
 from .features import build_features
 
 # Levels of the interval models, attribution and context lengths.
@@ -60,23 +60,48 @@ def with_levels(levels: DataFrame, overall: tuple[float, float], df: DataFrame)
     return df.join(levels, KEY, "left").fillna(dict(zip(LEVELS, overall)))
 
 
+def _level(target: str) -> tuple[Column, Column]:
+    return F.avg(target), F.coalesce(F.stddev(target), F.lit(0.0))
+
+
+def fold_levels(rows: DataFrame, folds: DataFrame, target: str) -> tuple[DataFrame, dict[int, tuple[float, float]]]:
+    """``series_levels`` of every fold's training rows, all folds in one pass.
+
+    ``rows`` hold the ``segment`` of each row; ``folds`` have one row per series and fold, whose training
+    rows are those of earlier segments and before its ``_first``. One pair per fold reaches the driver.
+    """
+    of = folds.select(KEY, F.col("segment").alias("_fold"), "_first")
+    seen = rows.join(of, KEY).where((F.col("segment") < F.col("_fold")) & (F.col("ts") < F.col("_first")))
+    mean, spread = _level(target)
+    levels = stored(seen.groupBy("_fold", KEY).agg(mean.alias("_level"), spread.alias("_spread")), "fold-levels")
+    overall = seen.groupBy("_fold").agg(F.coalesce(mean, F.lit(0.0)).alias("_level"), spread.alias("_spread"))
+    return levels, {r["_fold"]: (float(r["_level"]), float(r["_spread"])) for r in overall.collect()}
+
+
 def series_levels(train: DataFrame, target: str) -> tuple[DataFrame, tuple[float, float]]:
     """Per series and over all rows: mean and deviation of the target, combined map-side."""
-    mean, spread = F.avg(target), F.coalesce(F.stddev(target), F.lit(0.0))
+    mean, spread = _level(target)
     path = scratch(train.sparkSession, "levels")
     train.groupBy(KEY).agg(mean.alias("_level"), spread.alias("_spread")).write.parquet(path)
     overall = train.agg(F.coalesce(mean, F.lit(0.0)), spread).head()
     return train.sparkSession.read.parquet(path), (float(overall[0]), float(overall[1]))
 
 
-def fit_trees(train: DataFrame, features: Sequence[str], params: TreeParams = TRAINING, target: str = "demand_gw", bins: int = 32) -> PooledTrees:
+def fit_trees(
+    train: DataFrame,
+    features: Sequence[str],
+    params: TreeParams = TRAINING,
+    target: str = "demand_gw",
+    bins: int = 32,
+    known: tuple[DataFrame, tuple[float, float]] | None = None,
+) -> PooledTrees:
     """One boosted model pooled over all series.
 
     Level and spread of the series are numeric inputs, for any number of series alike;
-    ``bins`` sets how finely every input is cut.
+    ``known`` holds them where a caller has them already. ``bins`` sets how finely every input is cut.
     """
     ensure_checkpoints(train.sparkSession)
-    levels, overall = series_levels(train.select(KEY, target), target)
+    levels, overall = known or series_levels(train.select(KEY, target), target)
     trees = GBTRegressor(
         featuresCol="_x",
         labelCol=target,

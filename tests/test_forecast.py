@@ -148,3 +148,41 @@ def test_linear_folds_without_earlier_rows(spark):
     df = spark.createDataFrame(pdf).withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
     got = backtest.walk_forward_linear(df, ["x"], train_months=2, test_days=20, min_train=30, min_test=10)
     assert 0 < got.count() < backtest.fold_table(df, train_months=2, test_days=20, min_train=30, min_test=10).count()
+
+
+def test_fold_fits_share_rows_and_levels(spark):
+    """Late, short and ending series; many shuffle partitions must not become many tasks of every fit."""
+    start = pd.Timestamp("2023-01-01")
+    days = {"a": (0, 120), "b": (17, 120), "c": (0, 62), "d": (95, 100)}
+    pdf = pd.concat([
+        pd.DataFrame({"series_id": s, "ts": pd.date_range(start + pd.Timedelta(days=lo), periods=hi - lo, freq="D"),
+                      "actual": np.random.default_rng(hi + lo).normal(100, 20, hi - lo)})
+        for s, (lo, hi) in days.items()])
+    geometry = {"train_months": 1, "test_days": 10, "min_train": 5, "min_test": 1}
+    seen = []
+
+    def fit(train, known):
+        seen.append((train.rdd.getNumPartitions(), train.select("series_id", "segment", "ts", "actual").toPandas(),
+                     {r["series_id"]: (r["_level"], r["_spread"]) for r in known[0].collect()}, known[1]))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "41")
+        df = spark.createDataFrame(pdf).repartition(41)
+        out = backtest.walk_forward_model(
+            df, fit, lambda _, test: test.withColumn("pred", F.lit(100.0)), levels="actual", **geometry).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    folds = backtest.fold_table(spark.createDataFrame(pdf), **geometry).toPandas()
+    assert len(out) == len(folds) and sorted(zip(out.series_id, out.fold)) == sorted(zip(folds.series_id, folds.fold))
+    assert len(seen) == folds.segment.nunique()
+    by_fold = {len(rows): (tasks, rows, levels, overall) for tasks, rows, levels, overall in seen}
+    for _, part in folds.groupby("segment"):
+        want = pdf[pdf.series_id.isin(part.series_id) & (pdf.ts < part.test_start.min())]
+        tasks, rows, levels, overall = by_fold[len(want)]
+        assert tasks <= backtest.FIT_TASKS
+        assert sorted(zip(rows.series_id, rows.ts)) == sorted(zip(want.series_id, want.ts))
+        assert overall == pytest.approx((want.actual.mean(), want.actual.std()))
+        assert set(levels) == set(want.series_id)
+        for s, mine in want.groupby("series_id"):
+            assert levels[s] == pytest.approx((mine.actual.mean(), mine.actual.std()))
