@@ -28,7 +28,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +80,7 @@ class ByteBpe:
         self.bytes = [b""] * (max(self.slow.get_vocab().values()) + 1)
         for token, i in ranks.items():
             self.bytes[i] = token
-        self.lengths = [len(b) for b in self.bytes]
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.fast = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def decode(self, ids: list[int]) -> bytes:
@@ -103,13 +103,13 @@ class PieceModel:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
-        self.lengths = [len(b) for b in self.bytes]
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text)
+    def encode(self, text: str) -> np.ndarray:
+        return self.model.EncodeAsNumpy(text)
 
 
 class TokenizerPair:
@@ -118,14 +118,14 @@ class TokenizerPair:
     def __init__(self, bpe: str, pieces: bytes):
         self.first, self.second = ByteBpe(bpe), PieceModel(pieces)
 
-    def encode(self, text: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int], list[int]] | None:
         """(ids, ids, ends, ends), or None if either does not give the text back byte by byte."""
         target = b" " + text.encode()
         ids_a, ids_b = self.first.encode(" " + text), self.second.encode(text)
         if self.first.decode(ids_a) != target or self.second.decode(ids_b) != target:
             return None
-        size_a, size_b = self.first.lengths.__getitem__, self.second.lengths.__getitem__
-        return ids_a, ids_b, list(accumulate(map(size_a, ids_a))), list(accumulate(map(size_b, ids_b)))
+        ids_a, ids_b = np.array(ids_a, np.int64), ids_b.astype(np.int64)
+        return ids_a, ids_b, np.cumsum(self.first.lengths[ids_a]).tolist(), np.cumsum(self.second.lengths[ids_b]).tolist()
 
 
 @lru_cache(maxsize=1)
@@ -179,8 +179,8 @@ def skip_runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int
 class Alignment:
     """Groups and links of one text."""
 
-    def __init__(self, ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]):
-        self.ids_a, self.ids_b = ids_a, ids_b
+    def __init__(self, ids_a, ids_b, ends_a: list[int], ends_b: list[int]):
+        self.ids_a, self.ids_b = np.asarray(ids_a, np.int64), np.asarray(ids_b, np.int64)
         self.segments, self.links_a, self.links_b = skip_runs(ends_a, ends_b)
         self.bounds = bounds = np.array([*chain.from_iterable(self.segments), len(ids_a), len(ids_b), False], np.int64).reshape(-1, 3)
         self.stretch = bounds[:-1, 2] == 1
@@ -202,9 +202,9 @@ class Alignment:
         end_a, end_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
         # Where each token stands: after all tokens of earlier groups, the second tokenizer's after the first's.
         out = np.empty(n + m, np.int64)
-        out[np.arange(n) + np.repeat(np.r_[0, end_b[:-1]], np.diff(end_a, prepend=0))] = 2 * np.array(self.ids_a) + last_a
-        out[np.arange(m) + np.repeat(end_a, np.diff(end_b, prepend=0))] = 2 * np.array(self.ids_b) + last_b + 2 * names.n
-        return names.table.take(out, axis=0).tobytes().translate(None, b"\0")[:-1]
+        out[np.arange(n) + np.repeat(np.r_[0, end_b[:-1]], np.diff(end_a, prepend=0))] = 2 * self.ids_a + last_a
+        out[np.arange(m) + np.repeat(end_a, np.diff(end_b, prepend=0))] = 2 * self.ids_b + last_b + 2 * names.n
+        return names.table.take(out).tobytes().translate(None, b"\0")[:-1]
 
     def _last(self, side: int, n: int) -> np.ndarray:
         """Which tokens end their group: all in stretches, the last one of an irregular group."""
@@ -217,12 +217,12 @@ class Alignment:
 
 class GroupNames:
     """Ids in decimal with what follows them: inside a group, at the end of its first side, of its second.
-    A row of bytes each, filled up with zeros."""
+    Filled up with zeros to 8 bytes (or a multiple), which are copied as one number."""
 
     def __init__(self, n: int):
         self.n = n
         names = np.array([f"{i}{mark}" for end in ("|", ";") for i in range(n) for mark in (",", end)], "S")
-        self.table = names.view(np.uint8).reshape(len(names), -1)
+        self.table = names.astype(f"S{-(-names.itemsize // 8) * 8}")
 
 
 _BLOCK_SCHEMA = ("_block bigint, _id {id_type}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -253,7 +253,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, bpe: str, pieces: bytes,
                     ids_a, ids_b, ends_a, ends_b = encoded
                     found = Alignment(ids_a, ids_b, ends_a, ends_b)
                     at_a, at_b = found.linked()
-                    code = np.array(ids_a, np.int64)[at_a] * width + np.array(ids_b, np.int64)[at_b]
+                    code = found.ids_a[at_a] * width + found.ids_b[at_b]
                     row = (len(ids_a), len(ids_b), found.n_groups, len(code), hashlib.sha256(found.text(names)).hexdigest())
                 out.append(row)
                 codes.append(np.unique(code, return_counts=True))

@@ -124,3 +124,13 @@ def test_query_matches_brute_force(spark):
     got = QUERIES["op13_token_alignment"](spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r["n_links"] == r["n_a"] + r["n_b"] - r["n_groups"] for r in got)
+
+
+def test_ids_stay_arrays():
+    """Ids are converted to arrays once per text; the array form gives the ids of the list form."""
+    both = ta.TokenizerPair(BPE, PIECES)
+    for text in ["", "a", "Zwei  Sätze.\n\nTwo\tlines <s> é", "x" * 3000, "snow ☃ and 日本語 " * 20]:
+        assert both.second.encode(text).tolist() == both.second.model.encode(text)
+    ids_a, ids_b, ends_a, ends_b = both.encode("Some plain words, 12 of them")
+    assert ids_a.dtype == ids_b.dtype == "int64" and ends_a[-1] == ends_b[-1] == len(" Some plain words, 12 of them")
+    assert ta.GroupNames(200).table.itemsize == 8 and ta.GroupNames(10**4).table[0] == b"0,"
