@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
@@ -20,10 +20,25 @@ ORACLES: dict[str, str] = {}
 # Decimal ties are nudged the same way on both sides before rounding.
 NUDGE = 1e-9
 
+
+def rounded(x: Column) -> Column:
+    """``round(x, 6)`` of a double, through decimals only where arithmetic could err.
+
+    Below 1e12 the scaled value is off by less than 1e-3 (its rounding and that of the shortest
+    decimal of ``x``), so away from ties its nearest integer is the same, and the quotient of two
+    exact doubles is the double of that decimal. Ties, large and special values take ``round``.
+    """
+    scaled = x * F.lit(1e6)
+    whole = F.rint(scaled)
+    plain = (F.abs(scaled) < 1e12) & (F.abs(scaled - whole) < 0.499)
+    # Adding zero turns -0.0 into 0.0, as decimals do.
+    return F.when(plain, whole / F.lit(1e6) + F.lit(0.0)).otherwise(F.round(x, 6))
+
+
 _SPARK = {
     "s": lambda c: F.col(c),
     "i": lambda c: F.col(c).cast("bigint"),
-    "f": lambda c: F.round(F.col(c).cast("double") + NUDGE, 6),
+    "f": lambda c: rounded(F.col(c).cast("double") + NUDGE),
     "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
     "d": lambda c: F.date_format(c, "yyyy-MM-dd"),
 }

@@ -17,8 +17,9 @@ BACK_LAGS = feats.PROFILES["backtest"]["lags"]
 
 
 def _windows(spark, sf, columns):
-    rows = with_halo(S.filled(spark, sf), feats.REACH)
-    return drop_halo(rows.withColumns(columns(halo_window())))
+    w = halo_window()
+    rows = feats.with_day(with_halo(S.filled(spark, sf), feats.REACH), "demand_gw", w)
+    return drop_halo(rows.withColumns(columns(w)))
 
 
 def _lag_sql(lags, clamp=False) -> str:
@@ -59,7 +60,7 @@ ROLLS = {**MEANS, **STD}
 
 
 def _rolls(names, partial=False):
-    return lambda w: {names[k]: v for k, v in feats.roll_columns("demand_gw", w, partial).items() if k in names}
+    return lambda w: {names[k]: v for k, v in feats.roll_columns(w, partial).items() if k in names}
 
 
 @query("win_roll_mean", _spec(MEANS.values()), f"SELECT *, {_roll_sql(MEANS)} FROM filled {WINDOW_SQL}", "filled")
@@ -139,8 +140,8 @@ SELECT *, lag(demand_gw, 168) OVER w AS demand_lag_168h,
 FROM filled {WINDOW_SQL}""", "filled")
 def _(spark, sf):
     # Buckets barely wider than the reach, so that most rows are copied.
-    rows = with_halo(S.filled(spark, sf), feats.REACH, width=200)
     w = halo_window()
+    rows = feats.with_day(with_halo(S.filled(spark, sf), feats.REACH, width=200), "demand_gw", w)
     names = {"mean_168h": "roll_mean_168h"}
     return drop_halo(rows.withColumns({**feats.lag_columns("demand_gw", [168], w), **_rolls(names)(w)}))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ def is_holiday(ts: Column, profile: str = "train") -> Column:
     if profile == "fixed":
         codes = [m * 100 + d for m, d in FIXED_MONTH_DAYS]
         return (F.month(ts) * 100 + F.dayofmonth(ts)).isin(codes).cast("int")
-    return F.date_format(ts, "yyyy-MM-dd").isin(HOLIDAYS[profile]).cast("int")
+    days = [date.fromisoformat(d) for d in HOLIDAYS[profile]]
+    return ts.cast("timestamp").cast("date").isin(days).cast("int")
 
 
 def is_weekend(ts: Column) -> Column:

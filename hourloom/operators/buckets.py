@@ -55,7 +55,7 @@ def halo_window(keys: Sequence[str] = KEYS):
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
-    return df.where("_bucket = _own").drop("_bucket", "_own", "_at")
+    return df.where("_bucket = _own").drop("_bucket", "_own", "_at", "_day_sum", "_day_n", "_day_std")
 
 
 def _packed(df: DataFrame, keys: Sequence[str], order: str, width: int, first: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ PROFILES = {
     },
 }
 REACH = 168
+DAY, WEEK = 24, 168
 
 
 def feature_names(profile: str = "full", with_temperature: bool = True) -> list[str]:
@@ -69,34 +73,44 @@ def lag_columns(value: str, lags, w, clamp: bool = False) -> dict[str, Column]:
     return out
 
 
-def _window_full(value: str, n: int, w) -> Column:
-    """Whether the ``n`` rows before the current one all exist and hold a value.
+def with_day(df: DataFrame, value: str, w) -> DataFrame:
+    """Add sum, count and deviation of the 24 rows before each row, for ``roll_columns``.
 
-    Decided from positions, which is constant work per row; counting the frame
-    again would double the cost of the rolling mean.
+    ``w`` is a ``halo_window``. A later window of the same order needs no sort of its own.
     """
-    oldest = F.lag("_at", n).over(w)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last_null = F.last(F.when(F.col(value).isNull(), F.col("_at")), ignorenulls=True).over(before)
-    return oldest.isNotNull() & F.coalesce(last_null < oldest, F.lit(True))
+    day = w.rowsBetween(-DAY, -1)
+    return df.withColumns({
+        "_day_sum": F.sum(value).over(day),
+        "_day_n": F.count(value).over(day),
+        "_day_std": F.stddev_samp(value).over(day),
+    })
 
 
-def roll_columns(value: str, w, partial: bool = False) -> dict[str, Column]:
-    """Trailing mean and deviation of the rows before the current one.
+def roll_columns(w, partial: bool = False) -> dict[str, Column]:
+    """Trailing mean and deviation of the rows before the current one, on rows of ``with_day``.
 
     Full windows only, unless ``partial``: then frames are clipped at the series
     start, an empty mean is 0 and a deviation of fewer than two rows is 0.
-    ``w`` is a ``halo_window``.
+    A week is the days that end here and 24, 48, ... rows before: seven terms a
+    row instead of a frame of 168.
     """
-    day, week = w.rowsBetween(-24, -1), w.rowsBetween(-168, -1)
-    plain = {
-        "mean_24h": (F.avg(value).over(day), 24),
-        "std_24h": (F.stddev_samp(value).over(day), 24),
-        "mean_168h": (F.avg(value).over(week), 168),
+    def week(day: Column, missing: Column | None = None) -> Column:
+        days = [day] + [F.lag(day, k).over(w) for k in range(DAY, WEEK, DAY)]
+        return reduce(add, days if missing is None else [F.coalesce(d, missing) for d in days])
+
+    total, n, std = F.col("_day_sum"), F.col("_day_n"), F.col("_day_std")
+    if not partial:
+        whole = n == DAY
+        # Null unless every row exists and holds a value; so is a sum with such a day.
+        total = F.when(whole, total)
+        return {"mean_24h": total / DAY, "std_24h": F.when(whole, std), "mean_168h": week(total) / WEEK}
+    zero = F.lit(0.0)
+    rolls = {
+        "mean_24h": F.try_divide(total, n),
+        "std_24h": std,
+        "mean_168h": F.try_divide(week(total, zero), week(n, F.lit(0))),
     }
-    if partial:
-        return {name: F.coalesce(expr, F.lit(0.0)) for name, (expr, _) in plain.items()}
-    return {name: F.when(_window_full(value, n, w), expr) for name, (expr, n) in plain.items()}
+    return {name: F.coalesce(expr, zero) for name, expr in rolls.items()}
 
 
 def build_features(
@@ -122,12 +136,14 @@ def build_features(
     spread = with_halo(base, REACH, F.col("_pos") if by_row else None)
     w = halo_window(keys)
     windows = lag_columns("demand_gw", p["lags"], w, clamp=serve)
-    windows |= {p["rolls"][k]: v for k, v in roll_columns("demand_gw", w, partial=serve).items()}
-    rows = drop_halo(spread.withColumns(windows))
+    windows |= {p["rolls"][k]: v for k, v in roll_columns(w, partial=serve).items()}
+    rows = drop_halo(with_day(spread, "demand_gw", w).withColumns(windows))
+    if not (serve or keep_incomplete):
+        # What follows from these is null with them only, so the rest need not be looked at.
+        rows = rows.dropna(subset=[*df.columns, *windows])
     scalars = {k: v for k, v in calendar_columns(ts, holidays or p["holidays"]).items() if k in p["calendar"]}
     scalars |= cyclic_columns(ts, p["cycles"])
     scalars |= _temperature_features(df, profile)
     scalars["data_center_load_gw"] = growth_proxy(ts)
     names = feature_names(profile, temperature_column(df) is not None)
-    out = rows.withColumns(scalars).select(*df.columns, *names)
-    return out if serve or keep_incomplete else out.dropna()
+    return rows.withColumns(scalars).select(*df.columns, *names)

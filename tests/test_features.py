@@ -1,11 +1,15 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from hourloom.catalog.core import rounded
 from hourloom.functions.weather import degree_columns, synthetic_temperature
 from hourloom.operators import quality, split
 from hourloom.plans.features import build_features, feature_names
+from hourloom.session import configure
 
 from .helpers import collect, demand, hours
 
@@ -51,6 +55,44 @@ def test_rolling_needs_every_value(spark, raw):
         np.testing.assert_allclose(got[f"demand_roll_{name}"], want)
 
 
+def test_no_frame_is_longer_than_a_day(spark, raw):
+    plan = build_features(spark.createDataFrame(raw))._jdf.queryExecution().optimizedPlan().toString()
+    frames = [int(n) for n in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+), -1\)", plan)]
+    assert frames and max(frames) <= 24
+
+
+def test_weekly_mean_across_buckets_with_nulls(spark):
+    raw = demand(5000, start="2023-01-01", series=("a", "b"))
+    raw.loc[raw.index % 997 == 5, "demand_gw"] = None
+    df = spark.createDataFrame(raw).withColumn("demand_gw", F.nanvl("demand_gw", F.lit(None)))
+    full, served = collect(build_features(df, keep_incomplete=True)), collect(build_features(df, policy="serve"))
+    for s in ("a", "b"):
+        past = raw[raw.series_id == s]["demand_gw"].shift(1)
+        for name, n in (("mean_24h", 24), ("std_24h", 24), ("mean_168h", 168)):
+            how = name.split("_")[0]
+            column = f"demand_roll_{name}"
+            want = getattr(past.rolling(n), how)()
+            np.testing.assert_allclose(full[full.series_id == s][column].astype(float), want, rtol=1e-9)
+            want = getattr(past.rolling(n, min_periods=1), how)().fillna(0.0)
+            np.testing.assert_allclose(served[served.series_id == s][column], want, rtol=1e-9)
+
+
+def test_rounding_equals_decimals(spark):
+    rng = np.random.default_rng(3)
+    ties = rng.integers(-10**10, 10**10, 2000) / 2e6
+    x = np.concatenate([
+        rng.uniform(-500, 500, 2000), ties, ties + 1e-9, 10.0 ** rng.uniform(-20, 20, 2000),
+        [0.0, -0.0, -1e-9, 4.9e-7, 5e-7, -5e-7, np.nan, np.inf, -np.inf, 1e300, 999999.9999995, 1e6],
+    ])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    both = df.select(F.round("x", 6).cast("string").alias("want"), rounded(F.col("x")).cast("string").alias("got"))
+    assert both.where("not (want <=> got)").collect() == []
+
+
+def test_wide_projections_stay_compiled(spark):
+    assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_growth_rises(spark):
     out = collect(build_features(spark.createDataFrame(demand(2000))))["data_center_load_gw"]
     assert out[len(out) // 2 :].mean() > out[: len(out) // 2].mean()
